@@ -48,3 +48,18 @@ def cut(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Memo(dict):
+    """A dictionary that makes what it lacks, and starts anew when it holds `most` entries."""
+
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
+
+    def __missing__(self, key):
+        if len(self) >= self.most:
+            self.clear()
+        made = self.make(key)
+        if len(key) <= 64:
+            self[key] = made
+        return made

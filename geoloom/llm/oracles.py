@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from . import mixing
 from .quality import RULES, STOP_WORDS
 
 
@@ -48,6 +49,60 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM judged
 """
 
+OP10 = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [{", ".join(map(str, mixing.WEIGHTS))}][1 + (place % {len(mixing.WEIGHTS)})::INT] AS weight FROM sources
+), rated AS (
+  SELECT *, {mixing.MOST} * source_size / weight AS ratio FROM weighed
+), levels AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum({mixing.MOST} * source_size) OVER below, 0))::BIGINT
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER below, 0))::BIGINT AS level
+  FROM rated WINDOW below AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), free AS (
+  SELECT ratio AS free_ratio, place AS free_place, level AS free_level FROM levels WHERE level <= ratio
+  ORDER BY ratio, place LIMIT 1
+), aimed AS (
+  SELECT source, place, source_size,
+    CASE WHEN free_ratio IS NULL OR ratio < free_ratio OR (ratio = free_ratio AND place < free_place)
+      THEN ({mixing.MOST} * source_size)::DOUBLE ELSE free_level * weight END AS target
+  FROM levels LEFT JOIN free ON true
+), plan AS (
+  SELECT *, ceil(source_size / {mixing.BLOCK})::BIGINT AS n_blocks,
+    least(floor(target / {mixing.BLOCK} + 0.5)::BIGINT, {mixing.MOST} * ceil(source_size / {mixing.BLOCK})::BIGINT) AS n_slots
+  FROM aimed
+), ranks AS (
+  SELECT place, n_blocks, unnest(range(0, n_slots)) AS r FROM plan WHERE n_slots > 0
+), keyed AS (
+  SELECT *, r // n_blocks AS turn, [{", ".join(map(str, mixing.PRIMES))}][1 + ((place * 3 + r // n_blocks) % {len(mixing.PRIMES)})::INT] AS prime
+  FROM ranks
+), used AS (
+  SELECT place, ((prime % n_blocks) * (r % n_blocks) + (place * 7919 + turn * 104729) % n_blocks) % n_blocks AS block,
+    count(*) AS times
+  FROM keyed GROUP BY ALL
+), bucketed AS (
+  SELECT s.doc_id, s.size, p.place, p.source_size, p.target,
+    coalesce((floor((s.doc_id % 2147483647) * 1597334677 / 65536)::BIGINT % {mixing.BUCKETS} + {mixing.BUCKETS}) % {mixing.BUCKETS}, 0) AS bucket
+  FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
+), placed AS (
+  SELECT *, (sum(size) OVER (PARTITION BY place ORDER BY bucket, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start,
+    row_number() OVER () AS rid
+  FROM bucketed
+), parts AS (
+  SELECT rid, place, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block
+  FROM placed WHERE size > 0
+), taken AS (
+  SELECT rid, sum((least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK})) * times)::BIGINT AS taken
+  FROM parts JOIN used USING (place, block) GROUP BY rid
+)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (rid)
+"""
+
 ORACLES = {
     "op1_quality_rules": OP1,
+    "op10_mixing": OP10,
 }
