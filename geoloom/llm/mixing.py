@@ -144,7 +144,8 @@ def mix(
     keys = ["place", "bucket", "nth", "id", "source", "size", "source_size", "target"]
     parts = at.select(*keys, "start", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))).alias("block"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK) - F.greatest("start", F.col("block") * BLOCK)
-    taken = parts.join(used, ["place", "block"], "left").groupBy(*keys).agg(
+    # merged by sort: counts of slots compress so well in the exchange that they would be taken for a small side
+    taken = parts.join(used.hint("merge"), ["place", "block"], "left").groupBy(*keys).agg(
         F.sum(F.coalesce(overlap * F.col("times"), F.lit(0))).cast("long").alias("taken")
     )
     return taken.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
