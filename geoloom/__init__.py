@@ -1,0 +1 @@
+"""Feature collections on Spark: geometry expressions, spatial operators, topology and interchange formats."""
