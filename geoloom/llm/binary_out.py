@@ -27,7 +27,7 @@ from .common import shared_dir
 END_ID = 0
 #: The dictionary is trained on the id arrays of so many texts of at most so many characters.
 FIT_TEXTS, FIT_CHARS, DICTIONARY_BYTES = 512, 64_000, 65_536
-LEVEL, SEGMENT_BYTES = 3, 4 << 20
+LEVEL, SEGMENT_BYTES = 1, 4 << 20
 SEGMENT = (
     "shard int, number int, tokens_before long, dictionary_hash string, doc_ids array<{id}>, ends array<long>,"
     " n_tokens array<long>, payload binary"

@@ -8,17 +8,21 @@ between Unicode versions, goes to the library as it is.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 from .common import Memo
 
 #: Code points with the White_Space property.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0                　"
 #: Not a space since Unicode 6.3.
 CHANGED = "᠎"
+#: Letters below have had their class since Unicode 3.2.
+STABLE_LETTERS = "\u0200"
+#: What often follows a word; kept out of the cache together with it.
+MARKS = frozenset(".,;:!?")
 
 
 class Unsafe(Exception):
@@ -60,13 +64,26 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _Chunks(Memo):
+    """Chunks; a word with a mark behind it is put together from both each time, so words are held once."""
+
+    def __init__(self, make, most: int, encoder):
+        super().__init__(make, most)
+        self.encoder = encoder
+
+    def __missing__(self, key):
+        if key[-1:] in MARKS and (word := key[:-1]).isalpha() and max(word) < STABLE_LETTERS:
+            return self.encoder.join((self[word], self.encoder.piece[key[-1]]))
+        return super().__missing__(key)
+
+
 class CachedBpe:
     """Encodes texts to what `reduce` makes of their ids; `known(piece)` may answer before the library does.
 
     lift: ids of a pre-token -> value; join: values -> value (sum for counts, b"".join for bytes).
     """
 
-    def __init__(self, path: str, lift, join, known=None, pieces: int = 1_000_000, chunks: int = 500_000):
+    def __init__(self, path: str, lift, join, known=None, pieces: int = 250_000, chunks: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -75,7 +92,7 @@ class CachedBpe:
         self.lift, self.join, self.known = lift, join, known
         self.split, self.stable = patterns()
         self.piece = Memo(self._piece, pieces)
-        self.chunk = Memo(self._chunk, chunks)
+        self.chunk = _Chunks(self._chunk, chunks, self)
 
     def _piece(self, piece: str):
         if self.known and (found := self.known(piece)) is not None:
@@ -88,6 +105,8 @@ class CachedBpe:
 
     def _chunk(self, chunk: str):
         """What a space and the chunk up to the next space come to."""
+        if chunk.isalpha() and max(chunk) < STABLE_LETTERS:
+            return self._piece(" " + chunk)
         if not chunk or chunk[0] in WHITE or chunk[-1] in WHITE or not self._plain(chunk):
             raise Unsafe
         return self.join(map(self.piece.__getitem__, self.split.findall(" " + chunk)))
@@ -120,5 +139,12 @@ def counter(path: str) -> CachedBpe:
 @lru_cache(2)
 def serializer(path: str, width: int) -> CachedBpe:
     """A worker's encoder to little-endian id arrays of `width` bytes an id."""
-    kind = np.dtype(f"<u{width}")
-    return CachedBpe(path, lambda ids: np.array(ids, kind).tobytes(), b"".join)
+    kind = {2: "H", 4: "I"}[width]
+
+    def lift(ids: list[int]) -> bytes:
+        row = array(kind, ids)
+        if sys.byteorder == "big":
+            row.byteswap()
+        return row.tobytes()
+
+    return CachedBpe(path, lift, b"".join)
