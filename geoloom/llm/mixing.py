@@ -59,9 +59,13 @@ def targets(sizes: DataFrame) -> DataFrame:
     return filled.select(
         "source", "place", "source_size", "weight", target.alias("target"),
         F.ceil(F.col("source_size") / BLOCK).cast("long").alias("n_blocks"),
-        F.least(
-            F.floor(target / BLOCK + 0.5).cast("long"), MOST * F.ceil(F.col("source_size") / BLOCK).cast("long")
-        ).alias("n_slots"),
+    ).withColumn(
+        # a block holds source_size / n_blocks words on average: less than BLOCK in a source of a few
+        "n_slots",
+        F.when(
+            F.col("source_size") > 0,
+            F.least(F.floor(F.col("target") * F.col("n_blocks") / F.col("source_size") + 0.5).cast("long"), MOST * F.col("n_blocks")),
+        ).otherwise(F.lit(0).cast("long")),
     )
 
 

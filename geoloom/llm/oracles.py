@@ -71,10 +71,12 @@ WITH sized AS (
     CASE WHEN free_ratio IS NULL OR ratio < free_ratio OR (ratio = free_ratio AND place < free_place)
       THEN ({mixing.MOST} * source_size)::DOUBLE ELSE free_level * weight END AS target
   FROM levels LEFT JOIN free ON true
+), blocked AS (
+  SELECT *, ceil(source_size / {mixing.BLOCK})::BIGINT AS n_blocks FROM aimed
 ), plan AS (
-  SELECT *, ceil(source_size / {mixing.BLOCK})::BIGINT AS n_blocks,
-    least(floor(target / {mixing.BLOCK} + 0.5)::BIGINT, {mixing.MOST} * ceil(source_size / {mixing.BLOCK})::BIGINT) AS n_slots
-  FROM aimed
+  SELECT *, CASE WHEN source_size > 0
+    THEN least(floor(target * n_blocks / source_size + 0.5)::BIGINT, {mixing.MOST} * n_blocks) ELSE 0 END AS n_slots
+  FROM blocked
 ), ranks AS (
   SELECT place, n_blocks, unnest(range(0, n_slots)) AS r FROM plan WHERE n_slots > 0
 ), keyed AS (
