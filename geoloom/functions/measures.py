@@ -55,7 +55,9 @@ def ring_area(ring: Column) -> Column:
     total = F.aggregate(
         F.sequence(F.lit(1), F.size(ring) - 1),
         F.lit(0.0),
-        lambda a, i: a + F.radians(F.get(ring, i)["x"] - F.get(ring, i - 1)["x"]) * F.sin(F.radians(F.get(ring, i - 1)["y"])),
+        lambda a, i: a
+        + F.radians(F.get(ring, i)["x"] - F.get(ring, i - 1)["x"])
+        * (F.sin(F.radians(F.get(ring, i - 1)["y"])) + F.sin(F.radians(F.get(ring, i)["y"]))),
     )
     return F.when(F.size(ring) < 2, F.lit(0.0)).otherwise(F.abs(total * (RADIUS * RADIUS / 2)))
 

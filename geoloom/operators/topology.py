@@ -103,7 +103,7 @@ def stitch(edges: list[tuple[int, int]]) -> list[list[int]]:
                     (x0, y0), (x1, y1) = xy(came), xy(here)
                     back = math.atan2(y0 - y1, x0 - x1)
                     turn = lambda n: (math.atan2(xy(n)[1] - y1, xy(n)[0] - x1) - back) % (2 * math.pi) or 2 * math.pi  # noqa: B023, E731
-                    pick = max(range(len(choice)), key=lambda i: turn(choice[i]))  # noqa: B023
+                    pick = min(range(len(choice)), key=lambda i: turn(choice[i]))  # noqa: B023
                 came, here = here, choice.pop(pick)
                 ring.append(here)
                 if here == first:

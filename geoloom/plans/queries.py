@@ -144,7 +144,7 @@ def centroid_vertex(spark, d):
 
 
 @query(
-    with_views("cells") + " SELECT fid, floor(abs(6378137.0::DOUBLE * 6378137.0 / 2 * (radians(x1 - x0) * sin(radians(y1)) + radians(x0 - x1) * sin(radians(y0)))) + 0.5)::BIGINT AS area FROM cells"
+    with_views("cells") + " SELECT fid, floor(abs(6378137.0::DOUBLE * 6378137.0 / 2 * (radians(x1 - x0) * (sin(radians(y1)) + sin(radians(y1))) + radians(x0 - x1) * (sin(radians(y0)) + sin(radians(y0))))) + 0.5)::BIGINT AS area FROM cells"
 )
 def area_sphere(spark, d):
     """Area of each cell on the sphere."""
@@ -222,7 +222,7 @@ def dissolve_props(spark, d):
 
 
 @query(
-    with_views("cells") + ", r AS (SELECT n_regionkey, floor(abs(6378137.0::DOUBLE * 6378137.0 / 2 * (radians(x1 - x0) * sin(radians(y1)) + radians(x0 - x1) * sin(radians(y0)))) + 0.5) AS a FROM cells)"
+    with_views("cells") + ", r AS (SELECT n_regionkey, floor(abs(6378137.0::DOUBLE * 6378137.0 / 2 * (radians(x1 - x0) * (sin(radians(y1)) + sin(radians(y1))) + radians(x0 - x1) * (sin(radians(y0)) + sin(radians(y0))))) + 0.5) AS a FROM cells)"
     " SELECT n_regionkey, round(sum(a) / 1e7)::BIGINT AS area FROM r GROUP BY n_regionkey"
 )
 def dissolve_union(spark, d):
@@ -440,7 +440,7 @@ def ring_from_arcs(spark, d):
 
 
 @query(
-    with_views("cells") + ", r AS (SELECT floor(abs(6378137.0::DOUBLE * 6378137.0 / 2 * (radians(x1 - x0) * sin(radians(y1)) + radians(x0 - x1) * sin(radians(y0)))) + 0.5) AS a FROM cells)"
+    with_views("cells") + ", r AS (SELECT floor(abs(6378137.0::DOUBLE * 6378137.0 / 2 * (radians(x1 - x0) * (sin(radians(y1)) + sin(radians(y1))) + radians(x0 - x1) * (sin(radians(y0)) + sin(radians(y0))))) + 0.5) AS a FROM cells)"
     " SELECT 1::BIGINT AS polygons, round(sum(a) / 1e7)::BIGINT AS area FROM r"
 )
 def merge_rings(spark, d):
