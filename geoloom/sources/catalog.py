@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import measures
 from ..model import FeatureFrame, Meta
-from . import container, geojson, gml, kml, shapefile, topojson
+from . import container, files, geojson, gml, kml, shapefile, topojson
 
 PROPERTY = "geoloom.meta"
 
@@ -21,16 +21,32 @@ def read(spark: SparkSession, source, **options) -> FeatureFrame:
         return source
     if isinstance(source, dict | list):
         return geojson.from_object(spark, source, **options)
-    name = source.lower().split("#")[-1].removesuffix(".gz").removesuffix(".gzip").rstrip("/")
+    if "#" in source:
+        return _member(spark, *source.split("#", 1), **options)
+    name = source.lower().removesuffix(".gz").removesuffix(".gzip").rstrip("/")
     for endings, reader in (
         ((".geojsonl", ".ndjson"), geojson.read_lines), ((".topojson",), topojson.read), ((".geojson", ".json"), geojson.read),
-        ((".kml", ".kmz"), kml.read), ((".gml", ".xml"), gml.read), ((".zip",), shapefile.read), ((".pbf", ".geopbf"), container.read),
+        ((".kml", ".kmz"), kml.read), ((".gml", ".xml"), gml.read), ((".zip",), shapefile.read), ((".pbf",), container.read),
     ):
         if name.endswith(endings):
             return reader(spark, source, **options)
     return load(spark, source)
 
 
+def _member(spark: SparkSession, path: str, member: str, noprop: bool = False) -> FeatureFrame:
+    """One file of the archives at path, as `archive.zip#member`."""
+    parsers = {
+        (".topojson",): lambda data, _: topojson.features(json.loads(data)), (".geojson", ".json"): geojson.parse,
+        (".kml", ".kmz"): kml.parse, (".gml", ".xml"): gml.parse, (".pbf",): lambda data, _: container.decode(data)[3],
+        (".zip",): shapefile.parse,
+    }
+    parse = next((p for endings, p in parsers.items() if member.lower().endswith(endings)), None)
+    if parse is None:
+        raise ValueError(f"no reader for {member}")
+    rows = files.parsed(spark, path, parse, member)
+    return FeatureFrame(files.frame(rows, noprop), Meta(member.rsplit("/", 1)[-1].split(".")[0]))
+
+
 def save(ff: FeatureFrame, table: str) -> None:
     """The frame as a table with its box as the pruning column and metadata as a table property."""
     df = ff.df.withColumn("bbox", measures.bbox(F.col("geom"), ff.meta.precision))

@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from .. import model
 from ..model import FeatureFrame, Meta
+from . import files
 from .files import typed
 
 P1 = "array<double>"
@@ -116,6 +117,29 @@ def features_of(docs: DataFrame, text: str = "value") -> DataFrame:
     return rows.filter(F.get_json_object("text", "$.type") == "Feature").select("n", "i", "text")
 
 
+def shape(g: dict | None) -> dict | None:
+    """A geometry object as a dictionary of the canonical form; null where it is none."""
+    kind, c = (g or {}).get("type"), (g or {}).get("coordinates")
+    if kind == "GeometryCollection":
+        inner = [s for x in g.get("geometries", []) if (s := shape(x))]
+        return files.collection(inner) if inner else None
+    if kind not in model.TYPES or c is None:
+        return None
+    wrapped = {0: lambda: [[[c]]], 1: lambda: [[c]], 2: lambda: [[c]], 3: lambda: [c], 4: lambda: [c], 5: lambda: c}
+    code = model.TYPES.index(kind)
+    return files.geom(code, [[[p[:2] for p in line] for line in rings] for rings in wrapped[code]()])
+
+
+def parse(data: bytes, name: str):
+    """Features of a document in bytes, for members of archives."""
+    d = json.loads(data)
+    items = d if isinstance(d, list) else d.get("features", []) if d.get("type") == "FeatureCollection" else [d]
+    for f in items:
+        f = f if f.get("type") == "Feature" else {"geometry": f, "properties": {}}
+        if s := shape(f.get("geometry")):
+            yield s, f.get("properties") or {}
+
+
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     from ..operators.graph import numbered
 

@@ -274,3 +274,17 @@ def test_predicates_on_borders(spark):
 def test_frame_is_immutable(frame):
     other = frame.header(name="b")
     assert frame.meta.name == "all" and other.meta.name == "b" and other.df is frame.df and isinstance(other, FeatureFrame)
+
+
+def test_member_of_an_archive(spark, frame, tmp_path):
+    import zipfile
+
+    from geoloom.sources import catalog
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in/one.geojson", geojson.collection_text(frame))
+        z.writestr("other.txt", "x")
+    ff = catalog.read(spark, f"{tmp_path}/a.zip#in/one.geojson")
+    assert ff.meta.name == "one" and [numbers(s) for s in shapes(ff)] == [numbers(s) for s in SHAPES]
+    with pytest.raises(ValueError):
+        catalog.read(spark, f"{tmp_path}/a.zip#other.txt")
