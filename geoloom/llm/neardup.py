@@ -5,13 +5,18 @@
 2. Inverted lists: of the retained values that several classes hold, each class enters the lists of its rarest
    ones only. Two sketches that share the `least` values a similar pair must share meet in at least one list
    (prefix filter over one order of the values).
-3. Overlaps: each list pairs its members with one hub; what is linked contracts, and only lists whose members are
-   still in different components go on. After HUB_ROUNDS the remaining pairs of different components are all
-   compared, so no link that could join two components is lost and linked groups are never expanded to all pairs.
+3. Overlaps: each list pairs its members with its hub, the member whose values are the most common, as an original's
+   are among its copies. Pairs of other members are not formed: of two members linked with the hub none is needed, and
+   two others can only be similar if what sets them apart from the hub overlaps. So the differences from the hub make
+   inverted lists of their own (again with a prefix filter, by position), and those give the remaining pairs.
 4. A pair stays if the estimate from the sketch of the union (the k smallest of both) is within Z deviations of
    the threshold; exact Jaccard on full sets decides.
 5. Components by large-star and small-star rounds, each written to the shared folder.
 
+Step 3 is exact: with D the symmetric difference from the hub, x and y are similar iff |D_x ^ D_y| <= r (|x| + |y|)
+for r = (1 - t) / (1 + t), so they share at least (|D_x| + |D_y| - r (|x| + |y|)) / 2 elements of D. Where that is not
+positive, one of them is linked with the hub, and the linked member of least |D| - r |.| stands for all such.
+
 Null, empty and blank texts: an empty set, linked with nothing. Texts of fewer words than a shingle are one shingle.
 Rows with a null id take no part: component null, kept. Rows that share an id count as linked. An empty table gives
 an empty result. Other columns are ignored, whatever their names.
@@ -33,8 +38,6 @@ WORDS = 5
 K = 64
 #: Deviations of the estimate that a pair may fall below the threshold.
 Z = 5.0
-HUB_ROUNDS = 2
-HUBS = 3
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = Memo(xxhash.xxh3_64_intdigest, 1_000_000)
@@ -89,19 +92,35 @@ def sketched(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
 
 
 def lists(classes: DataFrame, least: float, k: int = K) -> DataFrame:
-    """value, rep, n: the inverted lists that each class enters."""
+    """value, rep, n, pop: the inverted lists that each class enters; pop says how common its values are."""
     held = classes.select("rep", "n", F.explode("sketch").alias("value"))
     common = held.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     need = F.ceil(F.lit(least) * F.least(F.lit(k), "n") - 1e-9).cast("int")
     shared = held.join(common, "value").groupBy("rep").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
+        F.first("n").alias("n"), F.sum("df").alias("pop"), F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values")
     )
     prefix = F.slice("values", 1, F.size("values") - need + 1)
-    return shared.filter(F.size("values") >= need).select("rep", "n", F.explode(prefix).alias("x")).select(
-        "x.value", "rep", "n"
+    return shared.filter(F.size("values") >= need).select("rep", "n", "pop", F.explode(prefix).alias("x")).select(
+        "x.value", "rep", "n", "pop"
     )
 
 
+def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """rep, items: the whole sets of the classes in ids (rep), as sorted 64-bit numbers in bytes."""
+    ids = ids.distinct().join(classes.select("rep", "mark"), "rep")
+
+    def full(key, data, mark):
+        s = shingles(data, words)
+        return (key, s.tobytes()) if xxhash.xxh3_128_digest(s.tobytes()) == bytes(mark) else None
+
+    wanted = docs.join(ids, docs["id"] == ids["rep"]).select("id", "text", "mark")
+    return cut(_by_row(wanted, full, "rep long, items binary").dropDuplicates(["rep"]))
+
+
+def _set(value) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.int64)
+
+
 def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, least: float, k: int = K, words: int = WORDS):
     """The (a, b) of pairs whose full sets have at least percent Jaccard similarity."""
     known = classes.select("rep", "n", "sketch")
@@ -110,14 +129,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
     met = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     ratio = percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
     near = cut(both.filter(ratio).filter(met >= F.lit(least) * F.size(union) - 1e-9).select("a", "b"))
-    ids = near.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes.select("rep", "mark"), "rep")
-
-    def full(key, data, mark):
-        s = shingles(data, words)
-        return (key, s.tobytes()) if xxhash.xxh3_128_digest(s.tobytes()) == bytes(mark) else None
-
-    wanted = docs.join(ids, docs["id"] == ids["rep"]).select("id", "text", "mark")
-    sets = cut(_by_row(wanted, full, "rep long, items binary").dropDuplicates(["rep"]))
+    sets = full_sets(near.select(F.explode(F.array("a", "b")).alias("rep")), classes, docs, words)
     whole = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
 
     def verify(batches):
@@ -126,7 +138,7 @@ def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int,
         for batch in batches:
             keep = []
             for xa, xb in zip(batch.column("xa"), batch.column("xb")):
-                a, b = np.frombuffer(xa.as_buffer(), np.int64), np.frombuffer(xb.as_buffer(), np.int64)
+                a, b = _set(xa), _set(xb)
                 met = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * met >= percent * (len(a) + len(b) - met))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -153,29 +165,55 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def _labelled(index: DataFrame, found: DataFrame | None) -> DataFrame:
-    """The rows of index in lists that still hold several components."""
-    if found is None:
-        return index.withColumn("c", F.col("rep"))
-    c = index.join(found, index["rep"] == found["node"], "left").select(
-        "value", "rep", "n", F.coalesce("component", "rep").alias("c")
-    )
-    open_ = c.groupBy("value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi")
-    return c.join(open_.select("value"), "value")
+def hub_pairs(index: DataFrame) -> DataFrame:
+    """hub, rep: each list's members with the one whose values are the most common."""
+    order = F.struct((-F.col("pop")).alias("p"), "rep")
+    hubs = index.groupBy("value").agg(F.min(order).alias("hub")).select("value", F.col("hub.rep").alias("hub"))
+    return index.join(hubs, "value").filter("rep <> hub").select("hub", "rep").distinct()
 
 
-def _hub_pairs(index: DataFrame, turn: int) -> DataFrame:
-    order = F.struct(F.xxhash64("rep", F.lit(turn), F.pmod("value", F.lit(HUBS))).alias("h"), "rep", "c")
-    hubs = index.groupBy("value").agg(F.min(order).alias("hub")).select("value", F.col("hub.rep").alias("h"), F.col("hub.c").alias("hc"))
-    met = index.join(hubs, "value").filter("c <> hc")
-    return met.select(F.least("rep", "h").alias("a"), F.greatest("rep", "h").alias("b")).distinct()
+def further_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
+    """a, b: pairs of members (hub, rep, linked) of one hub that may be similar, those linked with it left out."""
+    t = percent / 100
+    r = (1 - t) / (1 + t)
+    sets = full_sets(members.select(F.explode(F.array("hub", "rep")).alias("rep")), classes, docs, words)
+    joined = members.join(sets.toDF("hub", "xh"), "hub").join(sets.toDF("rep", "xr"), "rep").select("hub", "rep", "linked", "xh", "xr")
 
+    def differ(batches):
+        import pyarrow as pa
 
-def _all_pairs(index: DataFrame, percent: int) -> DataFrame:
-    """What is left: members of one list in different components, with sizes that allow a link."""
-    x, y = index.toDF("value", "a", "na", "ca"), index.toDF("value", "b", "nb", "cb")
-    ratio = percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
-    return x.join(y, "value").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & ratio).select("a", "b").distinct()
+        for batch in batches:
+            sizes, apart = [], []
+            for h, x in zip(batch.column("xh"), batch.column("xr")):
+                sizes.append(len(_set(x)))
+                apart.append(np.setxor1d(_set(h), _set(x), assume_unique=True))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("hub"), batch.column("rep"), batch.column("linked"), pa.array(sizes, pa.int64()), pa.array(apart, pa.list_(pa.int64()))],
+                ["hub", "rep", "linked", "n", "apart"],
+            )
+
+    d = cut(joined.mapInArrow(differ, "hub long, rep long, linked boolean, n long, apart array<long>"))
+    d = d.withColumn("d", F.size("apart").cast("long"))
+    # the linked member that stands for all whose difference is small enough together with another's
+    slack = F.col("d") - r * F.col("n")
+    low = d.filter("linked").groupBy("hub").agg(F.min(F.struct(slack.alias("s"), "rep")).alias("m")).select("hub", F.col("m.s").alias("s"), F.col("m.rep").alias("m"))
+    near = d.filter("NOT linked").join(low, "hub").filter(F.col("s") + slack <= 1e-6).select(F.least("rep", "m").alias("a"), F.greatest("rep", "m").alias("b"))
+    held = d.select("hub", "rep", F.explode("apart").alias("e"))
+    common = held.groupBy("hub", "e").agg(F.count("*").alias("df")).filter("df > 1")
+    shared = held.join(common, ["hub", "e"]).groupBy("hub", "rep").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    ranked = d.drop("apart").join(shared, ["hub", "rep"]).withColumn("alone", F.col("d") - F.size("es"))
+    # places in the order of rarity; none beyond the longest prefix that any partner can ask for
+    longest = F.floor(r * F.col("n") * (1 + 1 / t) + 2).cast("int")
+    first = F.slice("es", 1, F.greatest(longest - F.col("alone").cast("int"), F.lit(0)))
+    rows = ranked.select("hub", "rep", "linked", "n", "d", "alone", F.posexplode(first).alias("i", "x")).select(
+        "hub", F.col("x.e").alias("e"), "rep", "linked", "n", "d", (F.col("alone") + F.col("i") + 1).alias("at")
+    )
+    x, y = (rows.toDF("hub", "e", *(f"{c}_{s}" for c in ("rep", "linked", "n", "d", "at"))) for s in "xy")
+    c = F.col
+    need = F.greatest(F.ceil((c("d_x") + c("d_y") - r * (c("n_x") + c("n_y"))) / 2 - 1e-6), F.lit(1))
+    may = (c("at_x") <= c("d_x") - need + 1) & (c("at_y") <= c("d_y") - need + 1) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    met = x.join(y, ["hub", "e"]).filter((c("rep_x") < c("rep_y")) & ~(c("linked_x") & c("linked_y")) & may)
+    return met.select(c("rep_x").alias("a"), c("rep_y").alias("b")).union(near).distinct()
 
 
 def near_duplicates(
@@ -196,23 +234,20 @@ def near_duplicates(
     )
     index = cut(lists(classes, least, k))
     named = classes.join(index.select("rep").distinct(), "rep", "left_semi")
-    tried = links = found = None
-    for turn in range(HUB_ROUNDS + 1):
-        rest = _labelled(index, found)
-        pairs = _hub_pairs(rest, turn) if turn < HUB_ROUNDS else _all_pairs(rest, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            break
-        tried = pairs if tried is None else tried.union(pairs)
-        new = cut(similar(pairs, named, docs, percent, least, k, words))
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            found = components(links)
+    pairs = cut(hub_pairs(index))
+    ends = lambda p: p.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    links = cut(similar(ends(pairs).distinct(), named, docs, percent, least, k, words))
+    told = pairs.withColumns({"a": F.least("hub", "rep"), "b": F.greatest("hub", "rep")}).join(links.withColumn("l", F.lit(True)), ["a", "b"], "left")
+    told = told.select("hub", "rep", F.coalesce("l", F.lit(False)).alias("linked"))
+    # hubs of one member, or of linked ones only, are done
+    open_ = told.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all").select("hub")
+    members = cut(told.join(open_, "hub"))
+    if not members.isEmpty():
+        more = further_pairs(members, named, docs, percent, words)
+        links = links.union(similar(cut(more.join(ends(pairs), ["a", "b"], "left_anti")), named, docs, percent, least, k, words))
+    found = components(links)
     moved = classes.select("mark", "rep", "size").join(
-        found if found is not None else classes.select(F.col("rep").alias("node"), F.col("rep").alias("component")).limit(0),
-        F.col("rep") == F.col("node"), "left",
+        found, F.col("rep") == F.col("node"), "left",
     )
     moved = moved.filter("size > 1 OR component IS NOT NULL").select("mark", F.coalesce("component", "rep").alias("component"))
     linked = rows.select("id", "n_shingles", "mark").join(moved, "mark", "left")
