@@ -10,7 +10,7 @@ word's probability in a class is a constant: training works on counts, scoring o
    training texts. All training documents give counts by class and word (partial counts in each task, then one
    exchange).
 2. Every distinct word with its count adds to hashed tables of decision counts, whose size is fixed; tasks sum their
-   own, slices are added up by an exchange.
+   own, slices are added up by an exchange and kept as two bytes a slot.
 3. Mixing weights, gated by how often the two longest contexts were seen, learn online (mini-batches in text order)
    on the bounded texts, each token taken out of its own counts. A last table for each node of the code (adaptive
    probability map) corrects the mixed probability in the same way.
@@ -71,7 +71,7 @@ class Classes:
     def __init__(self, texts: list[list[bytes]], k: int = CLASSES):
         common = Counter(w for t in texts for w in t if w != END).most_common(FEATURES)
         self.at = {w: i for i, (w, _) in enumerate(common)}
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), -1)
+        x = np.array([self.features(t) for t in texts]).reshape(len(texts), len(self.at))
         self.k = max(1, min(k, len(texts) // 16)) if self.at else 1
         self.logs, best = np.zeros((self.k, len(self.at))), -np.inf
         for seed in range(6 if self.k > 1 else 0):
@@ -178,6 +178,17 @@ def blocks(words: list[bytes], size: int = BLOCK):
             first, held = i + 1, 0
 
 
+#: Counts are kept as a byte each, in eighths of a power of two: exact while small, close when large.
+_CODES = np.round(2.0 ** (np.arange(256) / 8) - 1)
+_N0, _N1 = np.repeat(_CODES, 256), np.tile(_CODES, 256)
+
+
+def compact(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Both counts of each slot as one 16-bit number."""
+    code = lambda n: np.minimum(np.round(8 * np.log2(n.astype(np.float64) + 1)), 255).astype(np.uint16)
+    return code(n0) << np.uint16(8) | code(n1)
+
+
 def add_counts(table: np.ndarray, words: list[bytes], times: np.ndarray, group: int, code: Code) -> None:
     """Adds the words' decisions to table (2 x SLOTS), each as often as times says."""
     flat = table.reshape(-1)
@@ -185,7 +196,7 @@ def add_counts(table: np.ndarray, words: list[bytes], times: np.ndarray, group:
         own = Bytes(words[part], group)
         weight = np.bincount(own.use, times[part].astype(np.float64)[own.word], len(own.data))
         for rows, node, bit in code.decisions(own.data):
-            w = weight[rows]
+            w = weight[rows].astype(table.dtype)  # add.at is only fast without a cast
             for s in own.slots(rows, node):
                 np.add.at(flat, bit * SLOTS + s, w)
 
@@ -246,26 +257,26 @@ class Mixer:
 
 
 class Model:
-    """Predictors as stretched probabilities (in 1/2048) and levels, with class shares and the fitted mixer."""
+    """Predictors as compact counts, with class shares and the fitted mixer."""
 
     def __init__(self, classes: Classes, code: Code, counts: np.ndarray, sizes: dict[int, int], texts: list[list[bytes]]):
-        self.classes, self.code, self.mixer = classes, code, Mixer()
+        self.classes, self.code, self.mixer, self.counts = classes, code, Mixer(), counts
         n = np.array([sizes.get(k, 0) + 1 for k in range(classes.k)], np.float64)
         self.shares = np.log10(n / n.sum())
-        self._fit(counts, texts)
-        total = counts[0] + counts[1]
-        self.stretched = np.round(_stretch((counts[1] + EVEN) / (total + 2 * EVEN)) * 2048).clip(-32767, 32767).astype(np.int16)
-        self.levels = _level(total)
+        self.stretched = _stretch((_N1 + EVEN) / (_N0 + _N1 + 2 * EVEN)).astype(np.float32)
+        self.levels = _level(_N0 + _N1)
+        self._fit(texts)
 
-    def _fit(self, counts: np.ndarray, texts: list[list[bytes]]) -> None:
+    def _fit(self, texts: list[list[bytes]]) -> None:
         for words in texts:
             own = Bytes(words, self.classes.of(words))
             times = np.bincount(own.use, minlength=len(own.data)).astype(np.float64)
             for rows, node, bit in self.code.decisions(own.data):
                 xs, levels = [], []
                 for s in own.slots(rows, node):
-                    n0 = np.maximum(counts[0][s] - (1 - bit), 0)  # without this occurrence
-                    n1 = np.maximum(counts[1][s] - bit, 0)
+                    both = self.counts[s]
+                    n0 = np.maximum(_N0[both] - (1 - bit), 0)  # without this occurrence
+                    n1 = np.maximum(_N1[both] - bit, 0)
                     xs.append(_stretch((n1 + EVEN) / (n0 + n1 + 2 * EVEN)))
                     levels.append(_level(n0 + n1))
                 self.mixer.learn(xs, self._gate(levels), node, bit, times[rows])
@@ -281,9 +292,9 @@ class Model:
             own = Bytes(words[part], group)
             total = np.zeros(len(own.data))
             for rows, node, bit in self.code.decisions(own.data):
-                at = own.slots(rows, node)
-                xs = [self.stretched[s].astype(np.float32) / 2048 for s in at]
-                p = self.mixer.refined(self.mixer.mixed(xs, self._gate([self.levels[s] for s in at[-2:]])), node)
+                seen = [self.counts[s] for s in own.slots(rows, node)]
+                gate = self._gate([self.levels[c] for c in seen[-2:]])
+                p = self.mixer.refined(self.mixer.mixed([self.stretched[c] for c in seen], gate), node)
                 total[rows] += np.log10(np.where(bit == 1, p, 1 - p))
             found.append(np.bincount(own.word, total[own.use], part.stop - part.start))
         return np.concatenate(found) if found else np.zeros(0)
@@ -321,35 +332,49 @@ def word_counts(texts: DataFrame, classes) -> DataFrame:
 
 
 def bit_counts(words: DataFrame, code: Code) -> np.ndarray:
-    """The tables of decision counts (2 x SLOTS) over all classes and words."""
+    """The compact table of decision counts over all classes and words."""
 
     def gather(batches):
         import pyarrow as pa
 
-        table, squeeze = np.zeros((2, SLOTS)), zstandard.ZstdCompressor(level=1)
+        table, squeeze = np.zeros((2, SLOTS), np.float32), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             group, times = batch.column("class").to_numpy(), batch.column("c").to_numpy()
             text = np.array(batch.column("word").to_pylist(), object)
             for k in np.unique(group):
                 add_counts(table, text[group == k].tolist(), times[group == k], int(k), code)
-        flat = table.reshape(-1)
-        for i in range(0, len(flat), SLICE):
-            if flat[i : i + SLICE].any():
-                data = squeeze.compress(flat[i : i + SLICE].astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE]), pa.array([data])], ["slice", "data"])
+        for i in range(0, SLOTS, SLICE):
+            part = table[:, i : i + SLICE]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE]), pa.array([squeeze.compress(part.tobytes())])], ["slice", "data"])
 
     def add(batch):
         import pandas as pd
 
-        total = sum(np.frombuffer(zstandard.decompress(bytes(d)), np.float32).astype(np.float64) for d in batch["data"])
-        data = zstandard.compress(total.astype(np.float32).tobytes(), 1)
-        return pd.DataFrame({"slice": [batch["slice"].iloc[0]], "data": [data]})
+        n0, n1 = sum(np.frombuffer(zstandard.decompress(bytes(d)), np.float32).astype(np.float64) for d in batch["data"]).reshape(2, -1)
+        return pd.DataFrame({"slice": [batch["slice"].iloc[0]], "data": [zstandard.compress(compact(n0, n1).tobytes(), 1)]})
 
     own = words.coalesce(TASKS).mapInArrow(gather, "slice long, data binary")
-    flat = np.zeros(2 * SLOTS, np.float32)
-    for i, data in own.groupBy("slice").applyInPandas(add, "slice long, data binary").collect():  # tables of fixed size
-        flat[i * SLICE : (i + 1) * SLICE] = np.frombuffer(zstandard.decompress(bytes(data)), np.float32)
-    return flat.reshape(2, SLOTS)
+    found = np.zeros(SLOTS, np.uint16)
+    for i, data in own.groupBy("slice").applyInPandas(add, "slice long, data binary").toLocalIterator():  # a table of fixed size
+        found[i * SLICE : (i + 1) * SLICE] = np.frombuffer(zstandard.decompress(bytes(data)), np.uint16)
+    return found
+
+
+def _columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """h and c of a table of bounded size as arrays sorted by h; they reach the driver as packed bytes, not as rows."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            parts = [pa.array([batch.column(n).to_numpy().astype(np.int64).tobytes()], pa.binary()) for n in ("h", "c")]
+            yield pa.RecordBatch.from_arrays(parts, ["h", "c"])
+
+    rows = counts.mapInArrow(pack, "h binary, c binary").collect()
+    h, c = (np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in (0, 1))
+    order = h.argsort()
+    return h[order], c[order]
 
 
 class _Words:
@@ -401,8 +426,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
         if held > top:
             break
         cutoff = r
-    best = vocabulary.filter(rank >= cutoff).toPandas().sort_values("h")
-    shared = spark.sparkContext.broadcast((model, best["h"].to_numpy(np.int64), best["c"].to_numpy(np.int64)))
+    shared = spark.sparkContext.broadcast((model, *_columns(vocabulary.filter(rank >= cutoff))))
     name, below = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", n + 0.5 * (v + 1)
     kind = docs.schema["id"].dataType.simpleString()
 
