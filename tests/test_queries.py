@@ -6,7 +6,7 @@ import pytest
 from compare import TABLES, canonical
 from geoloom.plans.queries import ORACLES, QUERIES
 
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 
 
 @pytest.fixture(scope="module")
