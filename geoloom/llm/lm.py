@@ -7,15 +7,15 @@ so the probabilities of all texts sum to at most one. Predictors see the class,
 word's probability in a class is a constant: training works on counts, scoring on distinct words.
 
 1. Classes (mixtures of frequent words; languages fall apart here) and the prefix code come from a bounded number of
-   training texts. All training documents give counts by class and word (partial counts in each task, then one
-   exchange).
-2. Every distinct word with its count adds to hashed tables of decision counts, whose size is fixed; tasks sum their
-   own, slices are added up by an exchange and kept as two bytes a slot.
-3. Mixing weights, gated by how often the two longest contexts were seen, learn online (mini-batches in text order)
-   on the bounded texts, each token taken out of its own counts. A last table for each node of the code (adaptive
-   probability map) corrects the mixed probability in the same way.
-4. Documents are scored by cached word probabilities. Base counts come from a broadcast table of bounded size; the
-   rarer words of each document are joined with the table of counts by hash.
+   training texts. All documents give their distinct words by class, with counts over all training documents.
+2. Words are sorted and packed in groups of about BLOCK bytes. A group adds up its own decisions by context (a 64-bit
+   hash, no table of fixed size). Whole prefixes stay in their group but for those of its first and last word; other
+   contexts are dealt to buckets, whose number grows with the words, added up there, and sent back to each group.
+3. Mixing weights, gated by how often the two longest contexts were seen, are fitted by Newton steps over all
+   words and counts, each token taken out of its own counts: groups add up gradients. A last table for each node of
+   the code (adaptive probability map) corrects the mixed probability and is counted over all words in the same way.
+4. Every distinct word gets its score once. Documents take the scores and counts of frequent words from a broadcast
+   table of bounded size; their rarer words are joined with the table of words by hash.
 
 Null, empty and blank texts are the end alone. Words beyond RUN bytes are written in runs with contexts of their
 own. Without training documents N and V are 0 and all predictors are even. Repeated rows each get their row and
@@ -25,6 +25,7 @@ count each; other columns are ignored, whatever their names. A null id counts as
 from __future__ import annotations
 
 import heapq
+import math
 import uuid
 from collections import Counter
 
@@ -33,20 +34,20 @@ import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut
 
 END = b"\n"
-#: Contexts: bytes before (None: the whole prefix), whether the class counts, and bits of the table's size.
+#: Contexts: bytes before (None: the whole prefix), whether the class counts, and bits of a table in memory (Model).
 CONTEXTS = ((1, True, 18), (2, True, 20), (3, True, 21), (4, False, 22), (None, True, 23))
 OFFSETS = np.cumsum([0, *(1 << bits for *_, bits in CONTEXTS)])
 SLOTS = int(OFFSETS[-1])
-SLICE = 1 << 15
 RUN = 4096
 #: Bytes that are held in arrays at once, and texts' bytes that are scored together.
 BLOCK, TEXTS = 1 << 19, 8 << 20
-#: Classes, code and mixing are fitted on so many texts of at most so many characters.
+#: Classes and code are fitted on so many texts of at most so many characters.
 FIT_TEXTS, FIT_CHARS = 384, 64_000
 CLASSES, FEATURES = 8, 256
 #: The counts of so many words at most are broadcast.
@@ -56,7 +57,8 @@ REMEMBERED, COUNTED = 1_000_000, 1_000_000
 EVEN = 0.4
 LEVELS = 4
 STEPS = 33
-TASKS = 256
+#: Distinct words for each bucket of contexts, and rounds of fitting the mixing weights.
+BUCKET_WORDS, NEWTON = 60_000, 5
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(RUN + 1)], np.uint64)
 
@@ -143,9 +145,13 @@ class Bytes:
         after = np.cumsum(terms, dtype=np.uint64)
         before = after - terms
         base = np.repeat(before[starts], lengths)
+        later = np.repeat(np.r_[False, of[1:] == of[:-1]], lengths)  # runs after a word's first
+        base = base - later.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
         _, first, self.use = np.unique(after - base + at.astype(np.uint64) * _K, return_index=True, return_inverse=True)
         self.data = data[first]
         prefix, place = (before - base)[first], at[first]
+        #: Whether a whole prefix may also occur in other groups of the sorted words.
+        self.shared = np.isin(prefix, (before - base)[later | (self.word == 0) | (self.word == len(words) - 1)])
         salt = np.uint64((group + 1) * 0xA0761D6478BD642F % (1 << 64))
         self.hashes, key = [], np.zeros(len(first), np.uint64)
         for k, by_class, _ in CONTEXTS:
@@ -159,12 +165,16 @@ class Bytes:
             h = (h + salt if by_class else h) * _K
             self.hashes.append(h ^ (h >> np.uint64(29)))
 
-    def slots(self, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        """For each context the table slots of the decisions at node."""
+    def keys(self, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        """For each context the hashes of the decisions at node."""
         salt = (node + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return [(h[rows] ^ salt) * _K for h in self.hashes]
+
+    def slots(self, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+        """For each context the decisions' slots in a table in memory."""
         return [
-            (((h[rows] ^ salt) * _K) >> np.uint64(64 - bits)).astype(np.int64) + offset
-            for h, (*_, bits), offset in zip(self.hashes, CONTEXTS, OFFSETS)
+            (k >> np.uint64(64 - bits)).astype(np.int64) + offset
+            for k, (*_, bits), offset in zip(self.keys(rows, node), CONTEXTS, OFFSETS)
         ]
 
 
@@ -257,7 +267,7 @@ class Mixer:
 
 
 class Model:
-    """Predictors as compact counts, with class shares and the fitted mixer."""
+    """The predictors over one table in memory, for vocabularies that fit it; lm_scores goes by groups of words."""
 
     def __init__(self, classes: Classes, code: Code, counts: np.ndarray, sizes: dict[int, int], texts: list[list[bytes]]):
         self.classes, self.code, self.mixer, self.counts = classes, code, Mixer(), counts
@@ -304,88 +314,289 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def word_counts(texts: DataFrame, classes) -> DataFrame:
-    """class, word (binary), c of all tokens of the column text; classes is broadcast."""
+def word_counts(docs: DataFrame, classes) -> DataFrame:
+    """class, word (binary), c of all tokens of the column text; c counts rows with train only. classes is broadcast."""
 
     def run(batches):
         import pyarrow as pa
 
         def send(seen):
-            rows = [(k, w, n) for k, words in seen.items() for w, n in words.items()]
+            rows = [(k, w, n if train else 0) for (k, train), words in seen.items() for w, n in words.items()]
             k, w, n = zip(*rows)
             return pa.RecordBatch.from_arrays(
                 [pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["class", "word", "c"]
             )
 
-        seen: dict[int, Counter] = {}
+        seen: dict[tuple, Counter] = {}
         for batch in batches:
-            for data in batch.column("text").cast(pa.binary()).to_pylist():
+            for data, train in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("train").to_pylist()):
                 words = tokens(data)
-                seen.setdefault(classes.value.of(words), Counter()).update(words)
+                seen.setdefault((classes.value.of(words), train), Counter()).update(words)
                 if sum(map(len, seen.values())) >= COUNTED:
                     yield send(seen)
                     seen = {}
         if seen:
             yield send(seen)
 
-    return texts.select("text").mapInArrow(run, "class int, word binary, c long").groupBy("class", "word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "train").mapInArrow(run, "class int, word binary, c long").groupBy("class", "word").agg(F.sum("c").alias("c"))
+
+
+def _pack(x: np.ndarray | bytes) -> bytes:
+    return zstandard.compress(x if isinstance(x, bytes) else x.tobytes(), 1)
 
 
-def bit_counts(words: DataFrame, code: Code) -> np.ndarray:
-    """The compact table of decision counts over all classes and words."""
+def _unpack(data, kind) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(bytes(data)), kind)
+
+
+def groups_of(counts: DataFrame, n_words: int, size: int = BLOCK) -> DataFrame:
+    """id, class, words, times: sorted words of a class in groups of about size bytes."""
+
+    def pack(batches):
+        import pyarrow as pa
+
+        first, made = TaskContext.get().partitionId() << 32, 0
+
+        def group(k, words, times):
+            row = [first + made], [k], [_pack(b" ".join(words))], [_pack(np.array(times, np.int64))]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "class", "words", "times"]
+            )
+
+        words, times, held, at = [], [], 0, None
+        for batch in batches:
+            for k, w, c in zip(*(batch.column(n).to_pylist() for n in ("class", "word", "c"))):
+                if words and (k != at or held >= size):
+                    yield group(at, words, times)
+                    words, times, held, made = [], [], 0, made + 1
+                words.append(w)
+                times.append(c)
+                held, at = held + len(w) + 1, k
+        if words:
+            yield group(at, words, times)
+
+    parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words // 100_000)
+    ordered = counts.repartitionByRange(parts, "class", "word").sortWithinPartitions("class", "word")
+    return cut(ordered.mapInArrow(pack, "id long, class int, words binary, times binary"))
+
+
+class Group:
+    """A group's decisions: the unique (prefix, byte) of each, node, bit, tokens, and the places of their contexts' counts."""
+
+    def __init__(self, group: int, words, times, code: Code):
+        self.words = zstandard.decompress(bytes(words)).split(b" ")
+        self.times = _unpack(times, np.int64)
+        self.own = Bytes(self.words, group)
+        weight = np.bincount(self.own.use, self.times.astype(np.float64)[self.own.word], len(self.own.data))
+        self.rows, self.node, self.bit = (np.concatenate(x) for x in zip(*code.decisions(self.own.data)))
+        self.weight = weight[self.rows]
+
+    def contexts(self) -> None:
+        """keys: sorted hashes of contexts that other groups may have; counts of them, then of the group's own."""
+        *short, whole = self.own.keys(self.rows, self.node)
+        salted = [k ^ np.uint64((i + 1) * 0x9FB21C651E98DF25 % (1 << 64)) for i, k in enumerate((*short, whole))]
+        shared = self.own.shared[self.rows]
+        found = [np.unique(k, return_inverse=True) for k in (*salted[:-1], salted[-1][shared], salted[-1][~shared])]
+        keys = np.concatenate([k for k, _ in found[:-1]])
+        order = np.argsort(keys, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.keys, starts = keys[order], np.cumsum([0, *(len(k) for k, _ in found)])
+        self.at = [rank[starts[i] + inverse] for i, (_, inverse) in enumerate(found[:-2])]
+        last = np.empty(len(self.rows), np.int64)
+        last[shared], last[~shared] = rank[starts[-3] + found[-2][1]], starts[-2] + found[-1][1]
+        self.at.append(last)
+        self.n = np.zeros((2, int(starts[-1])))
+        for at in self.at:
+            for bit in (0, 1):
+                self.n[bit] += np.bincount(at, self.weight * (self.bit == bit), self.n.shape[1])
+
+
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Ascending with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def counted(groups: DataFrame, code: Code, n_words: int) -> DataFrame:
+    """groups with codes: compact counts over all groups, for each decision of a group a row of as many as CONTEXTS."""
+    buckets = max(1, -(-n_words // BUCKET_WORDS))
 
     def gather(batches):
         import pyarrow as pa
 
-        table, squeeze = np.zeros((2, SLOTS), np.float32), zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            group, times = batch.column("class").to_numpy(), batch.column("c").to_numpy()
-            text = np.array(batch.column("word").to_pylist(), object)
-            for k in np.unique(group):
-                add_counts(table, text[group == k].tolist(), times[group == k], int(k), code)
-        for i in range(0, SLOTS, SLICE):
-            part = table[:, i : i + SLICE]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // SLICE]), pa.array([squeeze.compress(part.tobytes())])], ["slice", "data"])
+            for at, k, words, times in zip(*(batch.column(n).to_pylist() for n in ("id", "class", "words", "times"))):
+                group = Group(k, words, times, code)
+                group.contexts()
+                cuts = np.searchsorted(bucket_of(group.keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
+                full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
+                parts = [slice(cuts[b], cuts[b + 1]) for b in full]
+                n = group.n.astype(np.float32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int64()), pa.array([at] * len(full), pa.int64()), pa.array([_pack(group.keys[p]) for p in parts], pa.binary()),
+                     pa.array([_pack(np.ascontiguousarray(n[:, p])) for p in parts], pa.binary())],
+                    ["bucket", "id", "keys", "n"],
+                )
 
     def add(batch):
         import pandas as pd
 
-        n0, n1 = sum(np.frombuffer(zstandard.decompress(bytes(d)), np.float32).astype(np.float64) for d in batch["data"]).reshape(2, -1)
-        return pd.DataFrame({"slice": [batch["slice"].iloc[0]], "data": [zstandard.compress(compact(n0, n1).tobytes(), 1)]})
+        keys = [_unpack(k, np.uint64) for k in batch["keys"]]
+        n = np.concatenate([_unpack(x, np.float32).reshape(2, -1) for x in batch["n"]], axis=1)
+        unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        codes = np.split(compact(*(np.bincount(inverse, x, len(unique)) for x in n))[inverse], np.cumsum([len(k) for k in keys])[:-1])
+        return pd.DataFrame({"id": batch["id"], "bucket": batch["bucket"], "codes": [_pack(c) for c in codes]})
+
+    def solve(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for at, k, words, times, parts in zip(*(batch.column(n).to_pylist() for n in ("id", "class", "words", "times", "parts"))):
+                group = Group(k, words, times, code)
+                group.contexts()
+                found = compact(*group.n)
+                found[: len(group.keys)] = np.concatenate([_unpack(p["codes"], np.uint16) for p in sorted(parts, key=lambda p: p["bucket"])])
+                codes = np.stack([found[at] for at in group.at])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at], pa.int64()), pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in (words, times, _pack(codes)))],
+                    ["id", "class", "words", "times", "codes"],
+                )
+
+    sums = groups.mapInArrow(gather, "bucket long, id long, keys binary, n binary").groupBy("bucket").applyInPandas(add, "id long, bucket long, codes binary")
+    back = sums.groupBy("id").agg(F.collect_list(F.struct("bucket", "codes")).alias("parts"))
+    own = "id long, class int, words binary, times binary"
+    return cut(groups.join(back, "id").select("id", "class", "words", "times", "parts").mapInArrow(solve, f"{own}, codes binary"))
+
+
+#: Of each pair of counts: stretched prediction and level; without an occurrence of 0, without one of 1, and with all.
+_PAIRS = [(np.maximum(_N0 - a, 0), np.maximum(_N1 - b, 0)) for a, b in ((1, 0), (0, 1), (0, 0))]
+_X = np.stack([_stretch((n1 + EVEN) / (n0 + n1 + 2 * EVEN)).astype(np.float32) for n0, n1 in _PAIRS])
+_LEVELS = np.stack([_level(n0 + n1) for n0, n1 in _PAIRS])
+
+
+def predictions(codes: np.ndarray, left: np.ndarray | int):
+    """Stretched predictions and gate; left says which occurrence is left out (2: none)."""
+    xs = [_X[left, c] for c in codes]
+    return xs, _LEVELS[left, codes[-1]].astype(np.int64) * LEVELS + _LEVELS[left, codes[-2]]
+
+
+def mixer_of(words: DataFrame, code: Code) -> Mixer:
+    """Weights and map fitted on all training tokens of counted words."""
+    mixer = Mixer()
+
+    def total(of) -> np.ndarray:
+        """The sums of of(xs, gate, node, bit, weight) over all groups."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            sums = 0
+            for batch in batches:
+                for k, w, t, c in zip(*(batch.column(n).to_pylist() for n in ("class", "words", "times", "codes"))):
+                    group = Group(k, w, t, code)
+                    there = np.flatnonzero(group.weight)
+                    if len(there):
+                        bit = group.bit[there]
+                        xs, gate = predictions(_unpack(c, np.uint16).reshape(len(CONTEXTS), -1)[:, there], bit)
+                        sums = sums + of(xs, gate, group.node[there], bit, group.weight[there])
+            if not np.isscalar(sums):
+                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
+
+        return sum((np.frombuffer(r[0], np.float64) for r in words.mapInArrow(run, "sums binary").collect()), np.zeros(1))
+
+    n, gates = len(CONTEXTS), LEVELS * LEVELS
+
+    def slopes(xs, gate, node, bit, weight):
+        out = np.zeros((gates, n * n + n + 1))
+        z = mixer.mixed(xs, gate)
+        p = _squash(z)
+        cost, error, bend = -weight * np.log(np.where(bit == 1, p, 1 - p)), (bit - p) * weight, p * (1 - p) * weight
+        x = np.stack(xs, axis=1).astype(np.float64)
+        for g in range(gates):
+            at = np.flatnonzero(gate == g)
+            if len(at):
+                own = x[at]
+                out[g] = [*(own.T @ (own * bend[at, None])).ravel(), *(own.T @ error[at]), cost[at].sum()]
+        return out.ravel()
+
+    best, before = np.full(gates, np.inf), mixer.weights.copy()
+    for _ in range(NEWTON):
+        sums = total(slopes)
+        if len(sums) == 1:
+            return mixer
+        sums = sums.reshape(gates, -1)
+        for g, (bends, slope, cost) in enumerate(zip(sums[:, : n * n], sums[:, n * n : -1], sums[:, -1])):
+            if cost > best[g]:  # stepped too far
+                mixer.weights[g] = (before[g] + mixer.weights[g]) / 2
+                continue
+            best[g], before[g] = cost, mixer.weights[g]
+            pull = 1 + 1e-6 * np.trace(bends.reshape(n, n))
+            step = np.linalg.solve(bends.reshape(n, n) + pull * np.eye(n), slope - pull * (mixer.weights[g] - 0.3))
+            mixer.weights[g] = mixer.weights[g] + step / max(1, np.abs(step).max())
+
+    def map_hits(xs, gate, node, bit, weight):
+        low, part = mixer.place(mixer.mixed(xs, gate))
+        at = np.concatenate([node * STEPS + low, node * STEPS + low + 1])
+        share = np.concatenate([(1 - part) * weight, part * weight])
+        return np.concatenate([np.bincount(at, share * np.tile(bit, 2), 255 * STEPS), np.bincount(at, share, 255 * STEPS)])
+
+    hits, seen = total(map_hits).reshape(2, 255, STEPS)
+    mixer.hits, mixer.seen = mixer.hits + hits, mixer.seen + seen
+    return mixer
+
+
+def word_scores(words: DataFrame, code: Code, mixer) -> DataFrame:
+    """k, word, c, score: hash of class and word, training count in the class and log10 probability; mixer is broadcast."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for k, w, t, codes in zip(*(batch.column(n).to_pylist() for n in ("class", "words", "times", "codes"))):
+                group = Group(k, w, t, code)
+                xs, gate = predictions(_unpack(codes, np.uint16).reshape(len(CONTEXTS), -1), 2)
+                p = mixer.value.refined(mixer.value.mixed(xs, gate), group.node)
+                cost = np.bincount(group.rows, np.log10(np.where(group.bit == 1, p, 1 - p)), len(group.own.data))
+                score = np.bincount(group.own.word, cost[group.own.use], len(group.words))
+                keys = np.array([key_of(k, x) for x in group.words], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), pa.array(group.words, pa.binary()), pa.array(group.times), pa.array(score)], ["k", "word", "c", "score"]
+                )
+
+    return words.mapInArrow(run, "k long, word binary, c long, score double")
+
 
-    own = words.coalesce(TASKS).mapInArrow(gather, "slice long, data binary")
-    found = np.zeros(SLOTS, np.uint16)
-    for i, data in own.groupBy("slice").applyInPandas(add, "slice long, data binary").toLocalIterator():  # a table of fixed size
-        found[i * SLICE : (i + 1) * SLICE] = np.frombuffer(zstandard.decompress(bytes(data)), np.uint16)
-    return found
+def key_of(group: int, word: bytes) -> int:
+    h = xxhash.xxh64_intdigest(word, 42 + group)
+    return h - (1 << 64) if h >> 63 else h
 
 
-def _columns(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """h and c of a table of bounded size as arrays sorted by h; they reach the driver as packed bytes, not as rows."""
+def _columns(rows: DataFrame) -> list[np.ndarray]:
+    """k, c and score of a table of bounded size as arrays sorted by k; they reach the driver as packed bytes, not as rows."""
+    kinds = {"k": np.int64, "c": np.int64, "score": np.float64}
 
     def pack(batches):
         import pyarrow as pa
 
         for batch in batches:
-            parts = [pa.array([batch.column(n).to_numpy().astype(np.int64).tobytes()], pa.binary()) for n in ("h", "c")]
-            yield pa.RecordBatch.from_arrays(parts, ["h", "c"])
+            parts = [pa.array([batch.column(n).to_numpy().astype(t).tobytes()], pa.binary()) for n, t in kinds.items()]
+            yield pa.RecordBatch.from_arrays(parts, list(kinds))
 
-    rows = counts.mapInArrow(pack, "h binary, c binary").collect()
-    h, c = (np.frombuffer(b"".join(r[i] for r in rows), np.int64) for i in (0, 1))
-    order = h.argsort()
-    return h[order], c[order]
+    found = rows.select(*kinds).mapInArrow(pack, "k binary, c binary, score binary").collect()
+    columns = [np.frombuffer(b"".join(r[i] for r in found), t) for i, t in enumerate(kinds.values())]
+    order = columns[0].argsort()
+    return [x[order] for x in columns]
 
 
 class _Words:
-    """A worker's words by class: their places, model scores and counts (-1: not in the broadcast table)."""
+    """A worker's words by class: their places, model scores, counts (-1: not in the broadcast table) and hashes."""
 
-    def __init__(self, model: Model, hashes: np.ndarray, counts: np.ndarray):
-        self.model, self.hashes, self.counts = model, hashes, counts
+    def __init__(self, k: int, hashes: np.ndarray, counts: np.ndarray, scores: np.ndarray):
+        self.k, self.hashes, self.counts, self.scores = k, hashes, counts, scores
         self.clear()
 
     def clear(self):
-        self.at: list[dict[bytes, int]] = [{} for _ in range(self.model.classes.k)]
+        self.at: list[dict[bytes, int]] = [{} for _ in range(self.k)]
         self.score, self.count, self.hash = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, texts: list[tuple[int, list[bytes]]]) -> None:
@@ -395,11 +606,14 @@ class _Words:
             new = list({w for c, words in texts if c == k for w in words if w not in known})
             if not new:
                 continue
-            h = np.array([xxhash.xxh64_intdigest(w, 42) for w in new], np.uint64).view(np.int64)
-            i = np.minimum(self.hashes.searchsorted(h), max(len(self.hashes) - 1, 0))
-            c = np.where(self.hashes[i] == h, self.counts[i], -1) if len(self.hashes) else np.full(len(h), -1)
+            h = np.array([key_of(k, w) for w in new], np.int64)
+            c, score = np.full(len(h), -1), np.zeros(len(h))
+            if len(self.hashes):
+                i = np.minimum(self.hashes.searchsorted(h), len(self.hashes) - 1)
+                there = self.hashes[i] == h
+                c[there], score[there] = self.counts[i[there]], self.scores[i[there]]
             known.update(zip(new, range(len(self.score), len(self.score) + len(new))))
-            self.score = np.concatenate([self.score, self.model.log10(new, k)])
+            self.score = np.concatenate([self.score, score])
             self.count, self.hash = np.concatenate([self.count, c]), np.concatenate([self.hash, h])
 
 
@@ -414,35 +628,41 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     fit = [r[0].encode() for r in train.select("text").filter(F.length("text") <= FIT_CHARS).take(FIT_TEXTS)]
     texts = [tokens(t) for t in fit]
     classes, code = Classes(texts), Code([b" ".join(t) for t in texts])
-    by_class = cut(word_counts(train, spark.sparkContext.broadcast(classes)))
-    vocabulary = cut(by_class.groupBy(F.xxhash64("word").alias("h")).agg(F.sum("c").alias("c")))
+    by_class = cut(word_counts(docs.select("text", (~F.col("held_out")).alias("train")), spark.sparkContext.broadcast(classes)))
+    vocabulary = by_class.filter("c > 0").groupBy(F.xxhash64("word")).agg(F.sum("c").alias("c"))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    n_words = by_class.count()
     sizes = dict(by_class.filter(F.col("word") == F.lit(END)).select("class", "c").collect())  # a row for each class
-    model = Model(classes, code, bit_counts(by_class, code), sizes, texts)
-    rank = F.floor(F.log2("c") * 8)
+    shares = np.array([sizes.get(k, 0) + 1 for k in range(classes.k)], np.float64)
+    shares = np.log10(shares / shares.sum())
+    words = counted(groups_of(by_class, n_words), code, n_words)
+    scored = word_scores(words, code, spark.sparkContext.broadcast(mixer_of(words, code)))
+    lexicon = cut(scored.select("k", "score", F.sum("c").over(W.partitionBy("word")).alias("c")))
+    rank = F.floor(F.log2(F.col("c") + 1) * 8)
     held, cutoff = 0, 1 << 20  # the lowest rank from which on words fit the broadcast table
-    for r, words in sorted(vocabulary.groupBy(rank.alias("r")).count().collect(), reverse=True):
-        held += words
+    for r, found in sorted(lexicon.groupBy(rank.alias("r")).count().collect(), reverse=True):
+        held += found
         if held > top:
             break
         cutoff = r
-    shared = spark.sparkContext.broadcast((model, *_columns(vocabulary.filter(rank >= cutoff))))
+    shared = spark.sparkContext.broadcast((classes, shares, *_columns(lexicon.filter(rank >= cutoff))))
     name, below = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", n + 0.5 * (v + 1)
     kind = docs.schema["id"].dataType.simpleString()
 
     def score(batches):
         import pyarrow as pa
 
+        classes, shares, *columns = shared.value
         if name not in _WORKER:
             _WORKER.clear()
-            _WORKER[name] = _Words(*shared.value)
+            _WORKER[name] = _Words(classes.k, *columns)
         own, row = _WORKER[name], TaskContext.get().partitionId() << 40
 
         def groups(batch):
             found, size, first = [], 0, 0
             for i, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 words = tokens(data)
-                found.append((own.model.classes.of(words), words, len(data or b"")))
+                found.append((classes.of(words), words, len(data or b"")))
                 size += len(data or b"")
                 if size >= TEXTS or i == len(batch) - 1:
                     part = batch.slice(first, len(found))
@@ -455,35 +675,35 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
                 out = []
                 for k, words, size in found:
                     at = np.fromiter(map(own.at[k].__getitem__, words), np.int64, len(words))
-                    total, c = float(own.score[at].sum() + own.model.shares[k]), own.count[at]
+                    total, c = float(own.score[at].sum() + shares[k]), own.count[at]
                     there = c >= 0
                     base = float(np.log10((c[there] + 0.5) / below).sum())
-                    bits = -total / np.log10(2) / max(size, 1)
-                    out.append((row, len(words), int(there.sum()), base, total, bits, own.hash[at[~there]]))
+                    out.append((row, size, len(words), int((c > 0).sum()), base, total, own.hash[at[~there]]))
                     row += 1
-                types = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.list_(pa.int64())]
+                types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays(
                     [ids, held, *(pa.array(list(c), t) for c, t in zip(zip(*out), types))],
-                    ["id", "held_out", "row", "n_tokens", "n_top", "base_top", "score", "bits_per_byte", "rare"],
+                    ["id", "held_out", "row", "size", "n_tokens", "n_top", "base_top", "score_top", "rare"],
                 )
 
     first = cut(
         docs.mapInArrow(
             score,
-            f"id {kind}, held_out boolean, row long, n_tokens long, n_top long, base_top double, score double,"
-            " bits_per_byte double, rare array<long>",
+            f"id {kind}, held_out boolean, row long, size long, n_tokens long, n_top long, base_top double, score_top double,"
+            " rare array<long>",
         )
     )
-    rare = first.select("row", F.explode("rare").alias("h"))
-    counts = vocabulary.filter(rank < cutoff).select("h", "c")
-    joined = rare.join(counts, "h", "left").select("row", F.coalesce("c", F.lit(0)).alias("c"))
+    joined = first.select("row", F.explode("rare").alias("k")).join(lexicon.filter(rank < cutoff), "k")
     late = joined.groupBy("row").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("n_rare"),
         F.sum(F.log10((F.col("c") + 0.5) / F.lit(below))).alias("base_rare"),
+        F.sum("score").alias("score_rare"),
     )
+    score_all = F.col("score_top") + F.coalesce("score_rare", F.lit(0.0))
     return first.drop("rare").join(late, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens",
         (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),
-        (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), "score", "bits_per_byte",
+        (F.col("base_top") + F.coalesce("base_rare", F.lit(0.0))).alias("base_score"), score_all.alias("score"),
+        (-score_all / math.log10(2) / F.greatest("size", F.lit(1))).alias("bits_per_byte"),
     )

@@ -183,3 +183,27 @@ def test_neighbours_of_few_and_none(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 1.0]), (0, [1.0, 0.0])]
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(spark.createDataFrame(rows, schema), lambda i: i % 50 == 0).orderBy("rank").collect()]
     assert got == [(0, 1, 1), (0, 2, 2)]
+
+
+def test_lm_contexts_are_counted_without_a_table_of_fixed_size(spark):
+    r = random.Random(3)
+    words = {(k, prose(r, "aa", 1).encode()[:r.randrange(1, 12)]): r.randrange(0, 4) for k in (0, 1) for _ in range(600)}
+    words |= {(0, lm.END): 5, (1, lm.END): 2, (0, b"karo" * 2500): 1, (1, b"x" * 9000 + b"karo"): 2}
+    code = lm.Code([b"ab abc b ab ca"])
+    rows = spark.createDataFrame([(k, bytearray(w), c) for (k, w), c in words.items()], "class int, word binary, c long")
+    got = lm.counted(lm.groups_of(rows, len(words), 100), code, 200_000).collect()
+    assert len(got) > 20, "words must fall in many groups"
+    want, seen = Counter(), []
+    for g in got:
+        group = lm.Group(g["class"], g["words"], g["times"], code)
+        *short, whole = group.own.keys(group.rows, group.node)
+        seen.append((g, [list(zip([i] * len(k), k.tolist())) for i, k in enumerate((*short, whole))]))
+        for keys in seen[-1][1]:
+            for key, bit, weight in zip(keys, group.bit.tolist(), group.weight.tolist()):
+                want[key, bit] += weight
+    for g, contexts in seen:
+        codes = lm._unpack(g["codes"], np.uint16).reshape(len(lm.CONTEXTS), -1)
+        for keys, own in zip(contexts, codes):
+            n = np.array([[want[k, b] for k in keys] for b in (0, 1)])
+            np.testing.assert_array_equal(own, lm.compact(*n))
+    assert {(g["class"], w) for g in got for w in lm.Group(g["class"], g["words"], g["times"], code).words} == set(words)
