@@ -6,8 +6,9 @@ so the probabilities of all texts sum to at most one. Predictors see the class,
 (orders 1 to 4 and the whole prefix) and the decisions so far. As no context but the class crosses a word, a
 word's probability in a class is a constant: training works on counts, scoring on distinct words.
 
-1. Classes (mixtures of frequent words; languages fall apart here) and the prefix code come from a bounded number of
-   training texts. All documents give their distinct words by class, with counts over all training documents.
+1. Classes (mixtures of the corpus's frequent words; languages fall apart here) are fitted on all training documents in
+   ROUNDS sums over their tasks, from STARTS drawn by hash. All documents give their distinct words by class, with
+   counts over all training documents; the prefix code is of the bytes of these counts.
 2. Words are sorted and packed in groups of about BLOCK bytes. A group adds up its own decisions by context (a 64-bit
    hash, no table of fixed size). Whole prefixes stay in their group but for those of its first and last word; other
    contexts are dealt to buckets, whose number grows with the words, added up there, and sent back to each group.
@@ -47,9 +48,9 @@ SLOTS = int(OFFSETS[-1])
 RUN = 4096
 #: Bytes that are held in arrays at once, and texts' bytes that are scored together.
 BLOCK, TEXTS = 1 << 19, 8 << 20
-#: Classes and code are fitted on so many texts of at most so many characters.
-FIT_TEXTS, FIT_CHARS = 384, 64_000
 CLASSES, FEATURES = 8, 256
+#: Fits of the classes from different starts, of which the best is kept, and rounds of each.
+STARTS, ROUNDS = 6, 12
 #: The counts of so many words at most are broadcast.
 TOP_WORDS = 1_000_000
 #: Words that a worker remembers, and that a counting task holds before it sends them on.
@@ -101,8 +102,9 @@ class Classes:
 class Code:
     """A prefix code for bytes: at depth d, a byte's node and the decision taken there."""
 
-    def __init__(self, texts: list[bytes]):
-        seen = np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256) * 16 + 1
+    def __init__(self, texts: list[bytes], seen: np.ndarray | None = None):
+        """seen: how often each byte occurs, by default in texts."""
+        seen = (np.bincount(np.frombuffer(b"".join(texts), np.uint8), minlength=256) if seen is None else seen) * 16 + 1
         heap = [(int(n), i, (i,)) for i, n in enumerate(seen)]
         heapq.heapify(heap)
         steps: list[list[tuple[int, int]]] = [[] for _ in range(256)]
@@ -314,6 +316,105 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
+def frequent_words(texts: DataFrame) -> list[bytes]:
+    """The FEATURES most frequent words of all texts."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def send(seen):
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
+
+        seen: Counter = Counter()
+        for batch in batches:
+            for data in batch.column("text").cast(pa.binary()).to_pylist():
+                seen.update((data or b"").lower().split())
+                if len(seen) >= COUNTED:
+                    yield send(seen)
+                    seen = Counter()
+        if seen:
+            yield send(seen)
+
+    counts = texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return [bytes(r[0]) for r in counts.orderBy(F.col("c").desc(), "word").limit(FEATURES).collect()]
+
+
+def classes_of(texts: DataFrame) -> Classes:
+    """Classes fitted on all texts."""
+    classes = Classes([])
+    classes.at = {w: i for i, w in enumerate(frequent_words(texts))}
+    n = len(classes.at)
+    if not n:
+        return classes
+    at = classes.at
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = []
+            for data in batch.column("text").cast(pa.binary()).to_pylist():
+                seen = [i for i in map(at.get, (data or b"").lower().split()) if i is not None]
+                found.append(np.bincount(seen, minlength=n).astype(np.uint32).tobytes() if seen else bytes(4 * n))
+            h = [xxhash.xxh64_intdigest(x) >> 1 for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(found, pa.binary())], ["h", "x"])
+
+    rows = cut(texts.select("text").mapInArrow(count, "h long, x binary"))
+    classes.k = max(1, min(CLASSES, rows.count() // 16))
+    if classes.k == 1:
+        classes.logs = np.zeros((1, n))
+        return classes
+    first = dict.fromkeys(bytes(r[0]) for r in rows.orderBy("h", "x").select("x").limit(8 * STARTS * CLASSES).collect())
+    first = np.array([np.frombuffer(x, np.uint32) for x in first], np.float64)
+    drawn = [np.random.default_rng(s).choice(len(first), classes.k, replace=len(first) < classes.k) for s in range(STARTS)]
+    logs = np.stack([Classes._smooth(first[d]) for d in drawn])
+    k = classes.k
+
+    def fitted(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each start the fit of all texts, and the classes that follow."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            fits, sums = np.zeros(STARTS), np.zeros((STARTS, k, n))
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint32).reshape(-1, n).astype(np.float64)
+                fit = (x @ logs.reshape(-1, n).T).reshape(len(x), STARTS, k)
+                fits += fit.max(axis=2).sum(axis=0)
+                own = fit.argmax(axis=2)[:, :, None] == np.arange(k)
+                sums += (own.reshape(len(x), -1).T.astype(np.float64) @ x).reshape(sums.shape)
+            yield pa.RecordBatch.from_arrays([pa.array([fits.tobytes()]), pa.array([sums.tobytes()])], ["fits", "sums"])
+
+        found = rows.mapInArrow(run, "fits binary, sums binary").collect()
+        fits, sums = (sum(np.frombuffer(r[i], np.float64) for r in found) for i in (0, 1))
+        return fits, np.stack([Classes._smooth(x) for x in sums.reshape(STARTS, k, n)])
+
+    for _ in range(ROUNDS):
+        fits, logs = fitted(logs)
+    classes.logs = logs[int(fits.argmax())]
+    return classes
+
+
+def byte_counts(words: DataFrame) -> np.ndarray:
+    """How often each byte is written for all training tokens of words."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen = np.zeros(256)
+        for batch in batches:
+            parts, c = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            seen += np.bincount(np.frombuffer(b"".join(parts), np.uint8), np.repeat(c, lengths), 256)
+            seen[ord(" ")] += sum(n for n, w in zip(c, parts) if w != END)
+        yield pa.RecordBatch.from_arrays([pa.array([seen.tobytes()])], ["seen"])
+
+    found = words.filter("c > 0").select("word", "c").mapInArrow(run, "seen binary").collect()
+    return sum((np.frombuffer(r[0], np.float64) for r in found), np.zeros(256))
+
+
 def word_counts(docs: DataFrame, classes) -> DataFrame:
     """class, word (binary), c of all tokens of the column text; c counts rows with train only. classes is broadcast."""
 
@@ -624,11 +725,9 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    train = docs.filter(~F.col("held_out"))
-    fit = [r[0].encode() for r in train.select("text").filter(F.length("text") <= FIT_CHARS).take(FIT_TEXTS)]
-    texts = [tokens(t) for t in fit]
-    classes, code = Classes(texts), Code([b" ".join(t) for t in texts])
+    classes = classes_of(docs.filter(~F.col("held_out")))
     by_class = cut(word_counts(docs.select("text", (~F.col("held_out")).alias("train")), spark.sparkContext.broadcast(classes)))
+    code = Code([], byte_counts(by_class))
     vocabulary = by_class.filter("c > 0").groupBy(F.xxhash64("word")).agg(F.sum("c").alias("c"))
     n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_words = by_class.count()

@@ -207,3 +207,14 @@ def test_lm_contexts_are_counted_without_a_table_of_fixed_size(spark):
             n = np.array([[want[k, b] for k in keys] for b in (0, 1)])
             np.testing.assert_array_equal(own, lm.compact(*n))
     assert {(g["class"], w) for g in got for w in lm.Group(g["class"], g["words"], g["times"], code).words} == set(words)
+
+
+def test_lm_classes_come_from_all_texts(spark):
+    r = random.Random(4)
+    texts = [prose(r, lang, 30) for lang in ("aa", "bb", "cc") for _ in range(450)]  # sorted: the first 384 are of one language
+    classes = lm.classes_of(spark.createDataFrame([(t,) for t in texts], "text string"))
+    own = [classes.of(lm.tokens(t.encode())) for t in texts]
+    by = [Counter(own[i : i + 450]) for i in (0, 450, 900)]
+    assert all(not by[i].keys() & by[j].keys() for i in range(3) for j in range(i))
+    seen = lm.byte_counts(spark.createDataFrame([(bytearray(b"zq"), 7), (bytearray(b"z"), 0), (bytearray(lm.END), 2)], "word binary, c long"))
+    assert (seen[ord("z")], seen[ord("q")], seen[ord(" ")], seen[10], seen.sum()) == (7, 7, 7, 2, 23)
