@@ -4,8 +4,9 @@ The index is fitted on a bounded sample (FIT_ROWS rows by a hash of the id): cen
 number of lists to probe so that the sample's own neighbours are found with RECALL. Every row is indexed: lists are
 packed in chunks of about CHUNK vectors, hot lists in many, and queries in chunks a list, so no task holds a whole
 list. In a chunk, rotated vectors are scanned by blocks of dimensions; from its partial distance a candidate is
-given up when a hypothesis test says it can't beat the query's threshold, which starts from the query's neighbours
-in the sample. What survives is scored exactly on the original vectors in double precision.
+given up when a hypothesis test says it can't beat the query's threshold, the distance of its `top`-th id in the
+sample. What survives is scored exactly on the original vectors in double precision, and so are the query's nearest ids
+in the sample, which are candidates too: each query gets `top` rows. If the sample has fewer ids, all lists are probed.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part, nor
 do rows with a null id. Rows that share an id count once (the nearest of them). Equal scores go to the smaller id.
@@ -43,7 +44,10 @@ class Index:
         rng = np.random.default_rng(seed)
         dims = vectors.shape[1]
         self.rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
-        self.ids, self.sample = ids, _unit(vectors).astype(np.float32)
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.sample = _unit(self.vectors).astype(np.float32)
+        self.distinct, self.starts = np.unique(self.ids, return_index=True)
         lists = int(min(MAX_LISTS, max(1, math.isqrt(rows)), max(1, len(ids) // 8)))
         centroids = self.sample[rng.choice(len(ids), lists, replace=False)]
         for _ in range(ROUNDS):
@@ -66,8 +70,9 @@ class Index:
         ranks = []
         for q in asked:
             near = self.sample @ self.sample[q]
-            near[q] = -2
-            best = np.argpartition(-near, min(top, len(near) - 1))[:top]
+            near[self.ids == self.ids[q]] = -2
+            best = np.argsort(-near, kind="stable")
+            best = best[np.sort(np.unique(self.ids[best], return_index=True)[1])[:top]]
             order = np.argsort(np.argsort(-(self.centroids @ self.sample[q]), kind="stable"), kind="stable")
             ranks += order[own[best[near[best] > -2]]].tolist()
         if not ranks:
@@ -77,17 +82,25 @@ class Index:
     def assign(self, vectors: np.ndarray) -> np.ndarray:
         return self._nearest(_unit(vectors).astype(np.float32), self.centroids)
 
-    def asked(self, ids: np.ndarray, vectors: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the lists to probe, and a squared distance within which top candidates lie."""
+    def asked(self, ids: np.ndarray, vectors: np.ndarray, top: int) -> tuple[list, np.ndarray, list, list]:
+        """For each query the lists to probe, a squared distance within which top ids lie, and the sample's nearest ids and their scores."""
         unit = _unit(vectors).astype(np.float32)
         n = len(self.centroids)
-        lists = np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")[:, : min(self.probes, n)]
-        near = unit @ self.sample.T
-        near[self.ids[None, :] == ids[:, None]] = -2
+        lists = np.argsort(-(unit @ self.centroids.T), axis=1, kind="stable")
+        near = np.maximum.reduceat(unit @ self.sample.T, self.starts, axis=1)  # of each distinct id
+        near[self.distinct[None, :] == ids[:, None]] = -2
         k = min(top, near.shape[1])
-        kth = -np.partition(-near, k - 1, axis=1)[:, k - 1]
-        bound = np.where((kth > -2) & (near.shape[1] >= top), 2 - 2 * kth.astype(np.float64) + 1e-5, 4.1)
-        return lists, bound
+        best = np.argpartition(-near, k - 1, axis=1)[:, :k]
+        kth = np.take_along_axis(near, best, axis=1).min(axis=1)
+        enough = (kth > -2) & (k >= top)
+        bound = np.where(enough, 2 - 2 * kth.astype(np.float64) + 1e-5, 4.1)
+        ends, norms, found, scores = np.r_[self.starts[1:], len(self.ids)], np.sqrt((vectors * vectors).sum(axis=1)), [], []
+        for q, row in enumerate(best):
+            row = row[near[q, row] > -2]
+            found.append(self.distinct[row].tolist())
+            own = [self.vectors[self.starts[i] : ends[i]] for i in row]
+            scores.append([float(((x * vectors[q]).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * norms[q])).max()) for x in own])
+        return [x[: min(self.probes, n) if e else n].tolist() for x, e in zip(lists, enough)], bound, found, scores
 
 
 def scan(query: np.ndarray, turned: np.ndarray, columns: np.ndarray, bound: float) -> np.ndarray:
@@ -175,14 +188,16 @@ def nearest(
         for batch in batches:
             if not len(batch):
                 continue
-            lists, bound = index.value.asked(batch.column("id").to_numpy(), _matrix(batch.column("v")), top)
+            lists, bound, near, scores = index.value.asked(batch.column("id").to_numpy(), _matrix(batch.column("v")), top)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(lists.tolist(), pa.list_(pa.int32())), pa.array(bound, pa.float64())],
-                ["id", "v", "lists", "bound"],
-            )
+                [*batch.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(bound, pa.float64()),
+                 pa.array(near, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
+                ["id", "v", "lists", "bound", "near", "scores"],
+            )
 
     wanted = rows.filter(queries(F.col("id")))
-    asked = wanted.mapInArrow(probe, "id long, v array<double>, lists array<int>, bound double")
+    kinds = "id long, v array<double>, lists array<int>, bound double, near array<long>, scores array<double>"
+    asked = cut(wanted.mapInArrow(probe, kinds))
     n_queries = max(1, -(-wanted.count() // QUERIES))
     packed = (
         asked.select("id", "v", "bound", F.explode("lists").alias("list"))
@@ -209,6 +224,8 @@ def nearest(
             )
 
     found = pairs.mapInArrow(search, "query_id long, vec_id long, score double")
+    sampled = asked.select(F.col("id").alias("query_id"), F.explode(F.arrays_zip("near", "scores")).alias("x"))
+    found = found.unionByName(sampled.select("query_id", F.col("x.near").alias("vec_id"), F.col("x.scores").alias("score")))
     once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return once.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= top)

@@ -218,3 +218,16 @@ def test_lm_classes_come_from_all_texts(spark):
     assert all(not by[i].keys() & by[j].keys() for i in range(3) for j in range(i))
     seen = lm.byte_counts(spark.createDataFrame([(bytearray(b"zq"), 7), (bytearray(b"z"), 0), (bytearray(lm.END), 2)], "word binary, c long"))
     assert (seen[ord("z")], seen[ord("q")], seen[ord(" ")], seen[10], seen.sum()) == (7, 7, 7, 2, 23)
+
+
+def row_counts(spark, rows):
+    found = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0)
+    return Counter(r["query_id"] for r in found.collect())
+
+
+def test_neighbours_come_back_in_full(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(2000)]  # noise: true neighbours lie in lists that aren't probed
+    assert row_counts(spark, rows) == {q: 5 for q in range(0, 2000, 50)}
+    few = [(i, rng.normal(size=16).tolist()) for i in range(4)]
+    assert row_counts(spark, few) == {0: 3}
