@@ -122,7 +122,7 @@ def scan(query: np.ndarray, turned: np.ndarray, columns: np.ndarray, bound: floa
 
 
 def search_chunk(queries, bounds, query_ids, vectors, ids, rotation, top: int):
-    """(query id, candidate id, cosine) of the best `top` of a chunk for each query."""
+    """(query id, candidate id, cosine) of the best `top` distinct ids of a chunk for each query."""
     norms = np.sqrt((vectors * vectors).sum(axis=1))
     columns = np.ascontiguousarray(((vectors / norms[:, None]) @ rotation).T)
     asked = np.sqrt((queries * queries).sum(axis=1))
@@ -131,7 +131,8 @@ def search_chunk(queries, bounds, query_ids, vectors, ids, rotation, top: int):
         alive = scan(queries[q], turned[q], columns, bounds[q])
         alive = alive[ids[alive] != query_ids[q]]
         score = (vectors[alive] * queries[q]).sum(axis=1) / (norms[alive] * asked[q])
-        for i in np.lexsort((ids[alive], -score))[:top]:
+        order = np.lexsort((ids[alive], -score))
+        for i in order[np.sort(np.unique(ids[alive][order], return_index=True)[1])[:top]]:
             yield int(query_ids[q]), int(ids[alive][i]), float(score[i])
 
 

@@ -231,3 +231,17 @@ def test_neighbours_come_back_in_full(spark):
     assert row_counts(spark, rows) == {q: 5 for q in range(0, 2000, 50)}
     few = [(i, rng.normal(size=16).tolist()) for i in range(4)]
     assert row_counts(spark, few) == {0: 3}
+
+
+def test_neighbours_count_a_repeated_candidate_once(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=16).tolist()) for i in range(300)]
+    near = (np.array(rows[50][1]) + 0.01).tolist()
+    rows += [(1001, near)] * 6
+    assert row_counts(spark, rows) == {q: 5 for q in range(0, 300, 50)}
+    index = ann.Index(np.array([i for i, _ in rows]), np.array([v for _, v in rows]), len(rows), 5)
+    bound = index.asked(np.array([50]), np.array([rows[50][1]]), 5)[1][0]
+    assert bound == pytest.approx(2 - 2 * brute_nearest(rows[:300] + [(1001, near)])[50][4][1], abs=1e-4)
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    got = list(ann.search_chunk(x[50:51], [4.1], [50], x, ids, index.rotation, 5))
+    assert [i for _, i, _ in got] == [i for i, _ in brute_nearest(rows[:300] + [(1001, near)])[50]]
