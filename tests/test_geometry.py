@@ -190,6 +190,20 @@ def test_noding_cuts_both_lines(spark):
     assert got == {0: 3, 1: 3, 2: 2}
 
 
+def test_noding_against_brute_force(spark):
+    import random
+
+    r = random.Random(11)
+    lines = [tuple(r.randrange(-500_000, 500_000) / 1e6 for _ in range(4)) for _ in range(40)]
+    side = lambda p, q, x: (q[0] - p[0]) * (x[1] - p[1]) - (q[1] - p[1]) * (x[0] - p[0]) > 0
+    cross = lambda s, t: side(s[:2], s[2:], t[:2]) != side(s[:2], s[2:], t[2:]) and side(t[:2], t[2:], s[:2]) != side(t[:2], t[2:], s[2:])
+    want = {i: 2 + sum(cross(s, t) for j, t in enumerate(lines) if j != i) for i, s in enumerate(lines)}
+    c = F.col
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "fid long, a double, b double, c double, d double")
+    rows = rows.select("fid", model.linestring(F.array(model.vertex(c("a"), c("b")), model.vertex(c("c"), c("d")))).alias("geom"))
+    assert {r["fid"]: len(r["ns"]) for r in topology.noded(rows).collect()} == want and sum(want.values()) > 300
+
+
 def test_effective_areas_never_fall():
     a = topology.effective_areas([(0, 0), (1, 0.1), (2, 1), (3, -1), (4, 0)], metres=False)
     assert a[0] == a[-1] == math.inf and all(x > 0 for x in a[1:-1]) and min(a[1:-1]) == pytest.approx(min(a))
