@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOG = logging.getLogger("geoloom")
 _SHIPPED: set[str] = set()
+_KEPT: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
@@ -33,12 +34,25 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_path(spark: SparkSession, name: str = "work") -> str:
-    """A fresh path that driver and executors share: under spark.checkpoint.dir, else a local folder of our own."""
+    """A fresh path that driver and executors share; it goes when the application's file systems close.
+
+    It lies under spark.checkpoint.dir, else the context's checkpoint folder. Without both, a local folder serves a
+    local master; on a cluster that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and (known := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        base = known.get()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="geoloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/geoloom-{name}-{uuid.uuid4().hex}"
+    own = f"{base.rstrip('/')}/geoloom-{spark.sparkContext.applicationId}"
+    if own not in _KEPT:
+        _KEPT.add(own)
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
