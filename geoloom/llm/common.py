@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialise as cut
+from ..session import shared_path as shared_dir
+
+__all__ = ["Memo", "SPACE_PATTERN", "WORD_PATTERN", "cut", "fresh", "let", "shared_dir", "table", "words"]
+
 #: Fixed value: the word class of every operator here, a run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_PATTERN = r"[\x20\x09-\x0D]+"
@@ -31,23 +34,12 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_PATTERN), "")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder in the place that driver and executors share: spark.checkpoint.dir, else a local one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="geoloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/geoloom-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores before it as long as df has such a column (names are compared as Spark does)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 class Memo(dict):

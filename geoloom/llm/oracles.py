@@ -12,6 +12,13 @@ def _rules() -> str:
     return " AND ".join(lines)
 
 
+def _polynomial() -> str:
+    value = str(mixing.COEFFICIENTS[0])
+    for c in mixing.COEFFICIENTS[1:]:
+        value = f"(({value}::BIGINT * (a % {mixing.FIELD}) + {c}) % {mixing.FIELD})"
+    return value
+
+
 OP1 = rf"""
 WITH base AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS b FROM documents
@@ -51,7 +58,7 @@ FROM judged
 
 OP10 = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(text, '') AS b, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
   FROM sized GROUP BY source
@@ -77,28 +84,40 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0
     THEN least(floor(target * n_blocks / source_size + 0.5)::BIGINT, {mixing.MOST} * n_blocks) ELSE 0 END AS n_slots
   FROM blocked
+), line AS (
+  SELECT place, n_blocks, n_slots, (sum(n_slots) OVER (ORDER BY place))::BIGINT - n_slots AS start_at,
+    greatest(1, round_even((sum(n_slots) OVER ())::BIGINT / {mixing.SHARD}, 0))::BIGINT AS shards
+  FROM plan WHERE n_slots > 0
+), slots AS (
+  SELECT place, n_blocks, shards, start_at + unnest(range(0, n_slots)) AS a FROM line
+), cubed AS (
+  SELECT *, {_polynomial()} AS h FROM slots
+), counts AS (
+  SELECT place, n_blocks, floor(((h + a // {mixing.FIELD} * 7919) % {mixing.FIELD}) * shards / {mixing.FIELD})::BIGINT AS shard, count(*) AS n
+  FROM cubed GROUP BY ALL
 ), ranks AS (
-  SELECT place, n_blocks, unnest(range(0, n_slots)) AS r FROM plan WHERE n_slots > 0
+  SELECT place, n_blocks, shard, before + unnest(range(0, n)) AS r
+  FROM (SELECT *, (sum(n) OVER (PARTITION BY place ORDER BY shard))::BIGINT - n AS before FROM counts)
 ), keyed AS (
   SELECT *, r // n_blocks AS turn, [{", ".join(map(str, mixing.PRIMES))}][1 + ((place * 3 + r // n_blocks) % {len(mixing.PRIMES)})::INT] AS prime
   FROM ranks
 ), used AS (
-  SELECT place, ((prime % n_blocks) * (r % n_blocks) + (place * 7919 + turn * 104729) % n_blocks) % n_blocks AS block,
-    count(*) AS times
-  FROM keyed GROUP BY ALL
-), bucketed AS (
+  SELECT shard, place, ((prime % n_blocks) * (r % n_blocks) + (place * 7919 + turn * 104729) % n_blocks) % n_blocks AS block
+  FROM keyed
+), hashed AS (
   SELECT s.doc_id, s.size, p.place, p.source_size, p.target,
-    coalesce((floor((s.doc_id % 2147483647) * 1597334677 / 65536)::BIGINT % {mixing.BUCKETS} + {mixing.BUCKETS}) % {mixing.BUCKETS}, 0) AS bucket
+    CASE WHEN s.doc_id IS NULL THEN ('0x' || substr(md5(s.b), 1, 7))::BIGINT
+      ELSE (floor((s.doc_id % {mixing.FIELD}) * 1597334677 / 65536)::BIGINT % 1073741824 + 1073741824) % 1073741824 END AS h
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source
 ), placed AS (
-  SELECT *, (sum(size) OVER (PARTITION BY place ORDER BY bucket, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start,
+  SELECT *, (sum(size) OVER (PARTITION BY place ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING))::BIGINT - size AS start,
     row_number() OVER () AS rid
-  FROM bucketed
+  FROM hashed
 ), parts AS (
   SELECT rid, place, start, size, unnest(range(start // {mixing.BLOCK}, (start + size - 1) // {mixing.BLOCK} + 1)) AS block
   FROM placed WHERE size > 0
 ), taken AS (
-  SELECT rid, sum((least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK})) * times)::BIGINT AS taken
+  SELECT rid, sum(least(start + size, (block + 1) * {mixing.BLOCK}) - greatest(start, block * {mixing.BLOCK}))::BIGINT AS taken
   FROM parts JOIN used USING (place, block) GROUP BY rid
 )
 SELECT doc_id, size, source_size, target, coalesce(taken, 0) AS taken FROM placed LEFT JOIN taken USING (rid)
