@@ -8,7 +8,8 @@
 3. Overlaps: each list pairs its members with its hub, the member whose values are the most common, as an original's
    are among its copies. Pairs of other members are not formed: of two members linked with the hub none is needed, and
    two others can only be similar if what sets them apart from the hub overlaps. So the differences from the hub make
-   inverted lists of their own (again with a prefix filter, by position), and those give the remaining pairs.
+   inverted lists of their own (again with a prefix filter, by position), and those give the remaining pairs: lists of
+   at most LONG members all of them, longer ones by a hub and differences again.
 4. A pair stays if the estimate from the sketch of the union (the k smallest of both) is within Z deviations of
    the threshold; exact Jaccard on full sets decides.
 5. Components by large-star and small-star rounds, each written to the shared folder.
@@ -25,6 +26,7 @@ an empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import xxhash
@@ -32,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, cut
+from .common import Memo, cut, fresh
 
 WORDS = 5
 K = 64
 #: Deviations of the estimate that a pair may fall below the threshold.
 Z = 5.0
+#: Rows of one key that a task joins with the key's set; keys of more are dealt to several, up to HOT_KEYS by broadcast.
+PART, HOT_KEYS = 256, 100_000
+#: Members of a list of differences that are paired with one another; longer lists get hubs of their own, DEPTH times.
+LONG, DEPTH = 32, 4
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = Memo(xxhash.xxh3_64_intdigest, 1_000_000)
@@ -105,15 +111,14 @@ def lists(classes: DataFrame, least: float, k: int = K) -> DataFrame:
     )
 
 
-def full_sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """rep, items: the whole sets of the classes in ids (rep), as sorted 64-bit numbers in bytes."""
-    ids = ids.distinct().join(classes.select("rep", "mark"), "rep")
+def full_sets(named: DataFrame, docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """rep, items: the whole sets of the classes named, as sorted 64-bit numbers in bytes; written once."""
 
     def full(key, data, mark):
         s = shingles(data, words)
         return (key, s.tobytes()) if xxhash.xxh3_128_digest(s.tobytes()) == bytes(mark) else None
 
-    wanted = docs.join(ids, docs["id"] == ids["rep"]).select("id", "text", "mark")
+    wanted = docs.join(named.select("rep", "mark"), docs["id"] == F.col("rep")).select("id", "text", "mark")
     return cut(_by_row(wanted, full, "rep long, items binary").dropDuplicates(["rep"]))
 
 
@@ -121,16 +126,35 @@ def _set(value) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), np.int64)
 
 
-def similar(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, least: float, k: int = K, words: int = WORDS):
+def hot_keys(keys: DataFrame) -> DataFrame | None:
+    """_key, _parts of the values of keys (one column) that more than PART rows hold; None if there are none."""
+    hot = keys.toDF("_key").groupBy("_key").agg(F.floor(F.count("*") / PART).cast("int").alias("_parts"))
+    hot = cut(hot.filter("_parts > 0"))
+    n = hot.count()
+    return None if not n else F.broadcast(hot) if n <= HOT_KEYS else hot
+
+
+def spread(rows: DataFrame, key: str, other: str, values: DataFrame, hot: DataFrame | None) -> DataFrame:
+    """rows joined with values on key; a hot key is dealt by other to parts that hold its values each."""
+    if hot is None:
+        return rows.join(values, key)
+    dealt = rows.join(hot, F.col(key) == F.col("_key"), "left").drop("_key")
+    dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(0)) + 1).cast("int")).drop("_parts")
+    copied = values.join(hot, F.col(key) == F.col("_key"), "left").drop("_key")
+    copied = copied.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(0))))).drop("_parts")
+    return dealt.join(copied, [key, "_part"]).drop("_part")
+
+
+def similar(pairs: DataFrame, named: DataFrame, sets: DataFrame, percent: int, least: float, k: int = K):
     """The (a, b) of pairs whose full sets have at least percent Jaccard similarity."""
-    known = classes.select("rep", "n", "sketch")
-    both = pairs.join(known.toDF("a", "na", "sa"), "a").join(known.toDF("b", "nb", "sb"), "b")
+    known = named.select("rep", "n", "sketch")
+    hot = hot_keys(pairs.select(F.explode(F.array("a", "b"))))
+    both = spread(spread(pairs, "a", "b", known.toDF("a", "na", "sa"), hot), "b", "a", known.toDF("b", "nb", "sb"), hot)
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k)
     met = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     ratio = percent * F.greatest("na", "nb") <= 100 * F.least("na", "nb")
     near = cut(both.filter(ratio).filter(met >= F.lit(least) * F.size(union) - 1e-9).select("a", "b"))
-    sets = full_sets(near.select(F.explode(F.array("a", "b")).alias("rep")), classes, docs, words)
-    whole = near.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b").select("a", "b", "xa", "xb")
+    whole = spread(spread(near, "a", "b", sets.toDF("a", "xa"), hot), "b", "a", sets.toDF("b", "xb"), hot).select("a", "b", "xa", "xb")
 
     def verify(batches):
         import pyarrow as pa
@@ -172,12 +196,16 @@ def hub_pairs(index: DataFrame) -> DataFrame:
     return index.join(hubs, "value").filter("rep <> hub").select("hub", "rep").distinct()
 
 
-def further_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, percent: int, words: int = WORDS) -> DataFrame:
-    """a, b: pairs of members (hub, rep, linked) of one hub that may be similar, those linked with it left out."""
+def further(members: DataFrame, sets: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that may be similar among members (hub, rep, linked) of one hub, and lists for the rest.
+
+    Pairs come from lists of at most `most` members (None: of all); longer lists are returned as an index like that
+    of lists(). Members linked with their hub are not paired with one another.
+    """
     t = percent / 100
     r = (1 - t) / (1 + t)
-    sets = full_sets(members.select(F.explode(F.array("hub", "rep")).alias("rep")), classes, docs, words)
-    joined = members.join(sets.toDF("hub", "xh"), "hub").join(sets.toDF("rep", "xr"), "rep").select("hub", "rep", "linked", "xh", "xr")
+    joined = spread(members, "hub", "rep", sets.toDF("hub", "xh"), hot_keys(members.select("hub"))).join(sets.toDF("rep", "xr"), "rep")
+    joined = joined.select("hub", "rep", "linked", "xh", "xr")
 
     def differ(batches):
         import pyarrow as pa
@@ -208,12 +236,38 @@ def further_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, perce
     rows = ranked.select("hub", "rep", "linked", "n", "d", "alone", F.posexplode(first).alias("i", "x")).select(
         "hub", F.col("x.e").alias("e"), "rep", "linked", "n", "d", (F.col("alone") + F.col("i") + 1).alias("at")
     )
+    rows, long = cut(rows), None
+    if most:
+        long = cut(rows.groupBy("hub", "e").agg(F.count("*").alias("df")).filter(F.col("df") > most))
+        index = rows.join(long, ["hub", "e"]).select(F.xxhash64("hub", "e").alias("value"), "rep", "n", F.lit(0).alias("pop"))
+        rows = rows.join(long, ["hub", "e"], "left_anti")
     x, y = (rows.toDF("hub", "e", *(f"{c}_{s}" for c in ("rep", "linked", "n", "d", "at"))) for s in "xy")
     c = F.col
     need = F.greatest(F.ceil((c("d_x") + c("d_y") - r * (c("n_x") + c("n_y"))) / 2 - 1e-6), F.lit(1))
     may = (c("at_x") <= c("d_x") - need + 1) & (c("at_y") <= c("d_y") - need + 1) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     met = x.join(y, ["hub", "e"]).filter((c("rep_x") < c("rep_y")) & ~(c("linked_x") & c("linked_y")) & may)
-    return met.select(c("rep_x").alias("a"), c("rep_y").alias("b")).union(near).distinct()
+    pairs = met.select(c("rep_x").alias("a"), c("rep_y").alias("b")).union(near).distinct()
+    return pairs, (index.distinct() if most else None)
+
+
+def links(index: DataFrame, named: DataFrame, sets: DataFrame, percent: int, least: float, k: int = K, depth: int = 0) -> list[DataFrame]:
+    """(a, b) of similar pairs that meet in a list of index, but for pairs that two others link."""
+    pairs = cut(hub_pairs(index))
+    ends = lambda p: p.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
+    found = cut(similar(ends(pairs).distinct(), named, sets, percent, least, k))
+    both = found.select("a", "b").union(found.select("b", "a")).toDF("hub", "rep").withColumn("l", F.lit(True))
+    told = cut(pairs.join(both, ["hub", "rep"], "left").select("hub", "rep", F.coalesce("l", F.lit(False)).alias("linked")))
+    # hubs of one member, or of linked ones only, are done
+    open_ = told.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all").select("hub")
+    members = cut(told.join(open_, "hub"))
+    if members.isEmpty():
+        return [found]
+    more, longer = further(members, sets, percent, LONG if depth < DEPTH else None)
+    more = cut(more.join(ends(pairs), ["a", "b"], "left_anti"))
+    out = [found, cut(similar(more, named, sets, percent, least, k))]
+    if longer is not None and not (longer := cut(longer)).isEmpty():
+        out += links(longer, named, sets, percent, least, k, depth + 1)
+    return out
 
 
 def near_duplicates(
@@ -234,34 +288,33 @@ def near_duplicates(
     )
     index = cut(lists(classes, least, k))
     named = classes.join(index.select("rep").distinct(), "rep", "left_semi")
-    pairs = cut(hub_pairs(index))
-    ends = lambda p: p.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
-    links = cut(similar(ends(pairs).distinct(), named, docs, percent, least, k, words))
-    told = pairs.withColumns({"a": F.least("hub", "rep"), "b": F.greatest("hub", "rep")}).join(links.withColumn("l", F.lit(True)), ["a", "b"], "left")
-    told = told.select("hub", "rep", F.coalesce("l", F.lit(False)).alias("linked"))
-    # hubs of one member, or of linked ones only, are done
-    open_ = told.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all").select("hub")
-    members = cut(told.join(open_, "hub"))
-    if not members.isEmpty():
-        more = further_pairs(members, named, docs, percent, words)
-        links = links.union(similar(cut(more.join(ends(pairs), ["a", "b"], "left_anti")), named, docs, percent, least, k, words))
-    found = components(links)
+    linked = links(index, named, full_sets(named, docs, words), percent, least, k)
+    found = components(reduce(DataFrame.union, linked))
     moved = classes.select("mark", "rep", "size").join(
         found, F.col("rep") == F.col("node"), "left",
     )
     moved = moved.filter("size > 1 OR component IS NOT NULL").select("mark", F.coalesce("component", "rep").alias("component"))
-    linked = rows.select("id", "n_shingles", "mark").join(moved, "mark", "left")
+    out = rows.select("id", "n_shingles", "mark").join(moved, "mark", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    return linked.select(
+    return out.select(
         F.col("id").alias(id_col), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay: one of each group, all columns as they are. Ids are keys; null ids stay."""
-    groups = near_duplicates(docs, percent, id_col, text_col)
-    gone = groups.filter(~F.col("kept")).select(F.col(id_col).cast("long").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
-    whole = left.filter(F.col(id_col).isNull())
-    return left.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).union(whole)
+    """The rows of docs that stay, all columns as they are: of each group the one of the smallest id.
+
+    Rows are told apart by themselves: equal ids don't link rows; of a group's rows of the smallest id, the one read
+    first stays. Rows without words and rows with a null id take no part and stay.
+    """
+    row = fresh(docs, "dup_row")
+    docs = cut(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(docs.filter(F.col(id_col).isNotNull()).select(row, text_col), percent, row, text_col)
+    groups = cut(groups.select(F.col(row).alias("_row"), "component_id", "kept"))
+    grouped = groups.join(groups.filter("NOT kept").select("component_id").distinct(), "component_id", "left_semi")
+    ids = docs.select(F.col(row).alias("_row"), F.col(id_col).alias("_id"))
+    members = cut(grouped.join(ids, "_row").select("component_id", F.struct("_id", "_row").alias("m")))
+    first = members.groupBy("component_id").agg(F.min("m").alias("f"))
+    gone = members.select(F.col("m._row").alias(row)).join(first.select(F.col("f._row").alias(row)), row, "left_anti")
+    return docs.join(gone, row, "left_anti").drop(row)

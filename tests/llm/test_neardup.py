@@ -73,6 +73,25 @@ def test_components_against_brute_force(spark, percent):
         assert r["kept"] == (r["component_id"] == r["doc_id"])
 
 
+def test_nested_lists_and_dealt_keys_against_brute_force(spark, monkeypatch):
+    for name, value in (("LONG", 3), ("PART", 4)):
+        monkeypatch.setattr(neardup, name, value)
+    rows = corpus(7)
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 80)
+
+
+def test_keep_one_loses_no_text(spark):
+    text = lambda s: " ".join(f"{s}{i}" for i in range(40))
+    rows = [(1, text("a"), "x"), (1, text("b"), "y"), (1, text("a"), "z"), (None, text("c"), "x"), (None, text("c"), "x"), (2, text("a") + " z", "w"), (3, None, "x"), (4, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    out = neardup.keep_one(docs, 80)
+    assert out.columns == docs.columns
+    want = [(1, text("a")), (1, text("b")), (None, text("c")), (None, text("c")), (3, None), (4, "")]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in out.collect()))) == sorted(map(str, want))
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
 def test_edges_of_the_input(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
