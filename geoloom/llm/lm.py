@@ -1,21 +1,26 @@
 """Language-model scores: logistic mixing of hashed-context bit predictors, and an add-half unigram base.
 
-Tokens are a text's lower-cased (A-Z) words, then one end. The model writes a text's class, then its words as
-their bytes and a blank, and the end as one line feed; a byte is written as the binary decisions of a prefix code,
-so the probabilities of all texts sum to at most one. Predictors see the class, the bytes before within the word
-(orders 1 to 4 and the whole prefix) and the decisions so far. As no context but the class crosses a word, a
-word's probability in a class is a constant: training works on counts, scoring on distinct words.
-
-1. Classes (mixtures of the corpus's frequent words; languages fall apart here) are fitted on all training documents in
-   ROUNDS sums over their tasks, from STARTS drawn by hash. All documents give their distinct words by class, with
-   counts over all training documents; the prefix code is of the bytes of these counts.
+Tokens are a text's lower-cased (A-Z) words, then one end. The model writes a text in binary decisions of two kinds,
+each predicted by several hashed contexts, mixed by gated weights and refined by an adaptive probability map:
+
+* Segments (module lm_match): at every SPAN-th place, chosen by its context's hash, one decision says whether the text
+  goes on as that context went on most often elsewhere in training; if it does, the words up to the next place are written
+  by that decision. These contexts cross words: the four and the twelve words before, and how the last decisions went.
+* Words: else a word is written as its bytes and a blank, the end as one line feed, each byte as the decisions of a prefix
+  code. Contexts are the bytes before within the word (orders 1 to 4 and the whole prefix) and the decisions so far.
+
+The probabilities of all texts sum to at most one. Training texts are scored by the counts without the token or
+segment at hand, as an online model scores a text before it learns from it; held-out texts by all counts. So a word
+has two constants, and training works on counts, scoring on distinct words:
+
+1. Distinct words are counted over all training documents; the prefix code is of the bytes of these counts.
 2. Words are sorted and packed in groups of about BLOCK bytes. A group adds up its own decisions by context (a 64-bit
    hash, no table of fixed size). Whole prefixes stay in their group but for those of its first and last word; other
    contexts are dealt to buckets, whose number grows with the words, added up there, and sent back to each group.
-3. Mixing weights, gated by how often the two longest contexts were seen, are fitted by Newton steps over all
-   words and counts, each token taken out of its own counts: groups add up gradients. A last table for each node of
-   the code (adaptive probability map) corrects the mixed probability and is counted over all words in the same way.
-4. Every distinct word gets its score once. Documents take the scores and counts of frequent words from a broadcast
+   Added up exactly, a context's counts are then kept in eighths of a power of two (exact while small).
+3. Mixing weights, gated by how often the two longest contexts were seen, and the map are learnt online: each group
+   learns from all its decisions, in a mixed order and each token taken out of its own counts; groups are averaged by tokens.
+4. Every distinct word gets its scores once. Documents take scores and counts of frequent words from a broadcast
    table of bounded size; their rarer words are joined with the table of words by hash.
 
 Null, empty and blank texts are the end alone. Words beyond RUN bytes are written in runs with contexts of their
@@ -27,39 +32,35 @@ from __future__ import annotations
 
 import heapq
 import math
-import uuid
-from collections import Counter
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import lm_match
 from .common import cut
 
 END = b"\n"
-#: Contexts: bytes before (None: the whole prefix), whether the class counts, and bits of a table in memory (Model).
-CONTEXTS = ((1, True, 18), (2, True, 20), (3, True, 21), (4, False, 22), (None, True, 23))
-OFFSETS = np.cumsum([0, *(1 << bits for *_, bits in CONTEXTS)])
-SLOTS = int(OFFSETS[-1])
+#: Bytes before that the predictors within words see (None: the whole prefix).
+CONTEXTS = (1, 2, 3, 4, None)
 RUN = 4096
-#: Bytes that are held in arrays at once, and texts' bytes that are scored together.
-BLOCK, TEXTS = 1 << 19, 8 << 20
-CLASSES, FEATURES = 8, 256
-#: Fits of the classes from different starts, of which the best is kept, and rounds of each.
-STARTS, ROUNDS = 6, 12
+#: Bytes of words in a group, and of texts that are scored together.
+BLOCK, TEXTS = 1 << 18, 8 << 20
 #: The counts of so many words at most are broadcast.
 TOP_WORDS = 1_000_000
-#: Words that a worker remembers, and that a counting task holds before it sends them on.
-REMEMBERED, COUNTED = 1_000_000, 1_000_000
+#: Words that a counting task holds before it sends them on.
+COUNTED = 1_000_000
 EVEN = 0.4
 LEVELS = 4
 STEPS = 33
-#: Distinct words for each bucket of contexts, and rounds of fitting the mixing weights.
-BUCKET_WORDS, NEWTON = 60_000, 5
+#: Distinct words for each bucket of contexts, and decisions that a group learns from at a time.
+BUCKET_WORDS, BATCH = 60_000, 8192
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(RUN + 1)], np.uint64)
 
@@ -68,37 +69,6 @@ def tokens(data: bytes | None) -> list[bytes]:
     return [*(data or b"").lower().split(), END]
 
 
-class Classes:
-    """A mixture of multinomials over the frequent words of some texts, by hard assignment."""
-
-    def __init__(self, texts: list[list[bytes]], k: int = CLASSES):
-        common = Counter(w for t in texts for w in t if w != END).most_common(FEATURES)
-        self.at = {w: i for i, (w, _) in enumerate(common)}
-        x = np.array([self.features(t) for t in texts]).reshape(len(texts), len(self.at))
-        self.k = max(1, min(k, len(texts) // 16)) if self.at else 1
-        self.logs, best = np.zeros((self.k, len(self.at))), -np.inf
-        for seed in range(6 if self.k > 1 else 0):
-            logs = self._smooth(x[np.random.default_rng(seed).choice(len(x), self.k, replace=False)])
-            for _ in range(12):
-                fit = x @ logs.T
-                own = fit.argmax(axis=1)
-                logs = self._smooth(np.array([x[own == c].sum(axis=0) for c in range(self.k)]))
-            if (score := fit.max(axis=1).sum()) > best:
-                self.logs, best = logs, score
-
-    @staticmethod
-    def _smooth(sums: np.ndarray) -> np.ndarray:
-        sums = sums + 0.1
-        return np.log(sums / sums.sum(axis=1, keepdims=True))
-
-    def features(self, words: list[bytes]) -> np.ndarray:
-        found = [i for i in map(self.at.get, words) if i is not None]
-        return np.bincount(found, minlength=len(self.at)).astype(np.float64) if found else np.zeros(len(self.at))
-
-    def of(self, words: list[bytes]) -> int:
-        return int((self.logs @ self.features(words)).argmax()) if self.k > 1 else 0
-
-
 class Code:
     """A prefix code for bytes: at depth d, a byte's node and the decision taken there."""
 
@@ -130,9 +100,9 @@ class Code:
 
 
 class Bytes:
-    """The distinct (prefix, next byte) of a class's words: contexts of each, and where the words use them."""
+    """The distinct (prefix, next byte) of some words: contexts of each, and where the words use them."""
 
-    def __init__(self, words: list[bytes], group: int):
+    def __init__(self, words: list[bytes]):
         parts = [w + b" " if w != END else w for w in words]
         of = np.arange(len(parts))
         if any(len(p) > RUN for p in parts):
@@ -149,14 +119,15 @@ class Bytes:
         base = np.repeat(before[starts], lengths)
         later = np.repeat(np.r_[False, of[1:] == of[:-1]], lengths)  # runs after a word's first
         base = base - later.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-        _, first, self.use = np.unique(after - base + at.astype(np.uint64) * _K, return_index=True, return_inverse=True)
+        self.use, unique = pd.factorize(after - base + at.astype(np.uint64) * _K)
+        first = np.empty(len(unique), np.int64)
+        first[self.use[::-1]] = np.arange(len(data))[::-1]
         self.data = data[first]
         prefix, place = (before - base)[first], at[first]
         #: Whether a whole prefix may also occur in other groups of the sorted words.
         self.shared = np.isin(prefix, (before - base)[later | (self.word == 0) | (self.word == len(words) - 1)])
-        salt = np.uint64((group + 1) * 0xA0761D6478BD642F % (1 << 64))
         self.hashes, key = [], np.zeros(len(first), np.uint64)
-        for k, by_class, _ in CONTEXTS:
+        for k in CONTEXTS:
             if k is None:
                 h = prefix + place.astype(np.uint64) ^ _K
             else:
@@ -164,7 +135,7 @@ class Bytes:
                 last[place < k] = 0
                 key = key | last << np.uint64(9 * (k - 1))
                 h = key + np.uint64(k)
-            h = (h + salt if by_class else h) * _K
+            h = h * _K
             self.hashes.append(h ^ (h >> np.uint64(29)))
 
     def keys(self, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
@@ -172,23 +143,6 @@ class Bytes:
         salt = (node + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
         return [(h[rows] ^ salt) * _K for h in self.hashes]
 
-    def slots(self, rows: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-        """For each context the decisions' slots in a table in memory."""
-        return [
-            (k >> np.uint64(64 - bits)).astype(np.int64) + offset
-            for k, (*_, bits), offset in zip(self.keys(rows, node), CONTEXTS, OFFSETS)
-        ]
-
-
-def blocks(words: list[bytes], size: int = BLOCK):
-    """Ranges of words of about size bytes."""
-    first, held = 0, 0
-    for i, w in enumerate(words):
-        held += len(w) + 1
-        if held >= size or i == len(words) - 1:
-            yield slice(first, i + 1)
-            first, held = i + 1, 0
-
 
 #: Counts are kept as a byte each, in eighths of a power of two: exact while small, close when large.
 _CODES = np.round(2.0 ** (np.arange(256) / 8) - 1)
@@ -201,18 +155,6 @@ def compact(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return code(n0) << np.uint16(8) | code(n1)
 
 
-def add_counts(table: np.ndarray, words: list[bytes], times: np.ndarray, group: int, code: Code) -> None:
-    """Adds the words' decisions to table (2 x SLOTS), each as often as times says."""
-    flat = table.reshape(-1)
-    for part in blocks(words):
-        own = Bytes(words[part], group)
-        weight = np.bincount(own.use, times[part].astype(np.float64)[own.word], len(own.data))
-        for rows, node, bit in code.decisions(own.data):
-            w = weight[rows].astype(table.dtype)  # add.at is only fast without a cast
-            for s in own.slots(rows, node):
-                np.add.at(flat, bit * SLOTS + s, w)
-
-
 def _stretch(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
@@ -227,15 +169,14 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Gated weights over stretched predictions, then an adaptive probability map."""
+    """Gated weights over stretched predictions, then an adaptive probability map for each node."""
 
-    def __init__(self):
-        n = len(CONTEXTS)
-        self.weights = np.full((LEVELS * LEVELS, n), 0.3)
-        self.squares = np.full((LEVELS * LEVELS, n), 1e-3)
-        line = _squash((np.arange(STEPS) - STEPS // 2) * 0.5)
-        self.hits = np.tile(line * 24, (255, 1))
-        self.seen = np.full((255, STEPS), 24.0)
+    def __init__(self, inputs: int = len(CONTEXTS), gates: int = LEVELS * LEVELS, nodes: int = 255):
+        self.weights = np.full((gates, inputs), 1.5 / inputs)
+        self.squares = np.full((gates, inputs), 1e-3)
+        self.learnt = np.zeros(gates)
+        self.hits = np.tile(_squash((np.arange(STEPS) - STEPS // 2) * 0.5) * 24, (nodes, 1))
+        self.seen = np.full((nodes, STEPS), 24.0)
 
     @staticmethod
     def place(x: np.ndarray):
@@ -255,154 +196,46 @@ class Mixer:
         p = t[at] * (1 - part) + t[at + 1] * part
         return np.clip((p + _squash(x)) / 2, 1e-6, 1 - 1e-6)
 
-    def learn(self, xs: list[np.ndarray], gate: np.ndarray, node: np.ndarray, bit: np.ndarray, times: np.ndarray) -> None:
-        """One mini-batch: gradient of the coding cost, steps scaled by each weight's past gradients."""
-        error = (bit - _squash(self.mixed(xs, gate))) * times
-        seen = np.maximum(np.bincount(gate, times, len(self.weights)), 1)
-        grad = np.stack([np.bincount(gate, x * error, len(self.weights)) / seen for x in xs], axis=1)
+    def learn(self, xs: list[np.ndarray], gate: np.ndarray, node: np.ndarray, bit: np.ndarray, times: np.ndarray, note: bool = True) -> None:
+        """One batch: gradient of the coding cost, steps scaled by each weight's past gradients; then the map."""
+        x, gates = self.mixed(xs, gate), len(self.weights)
+        error = (bit - _squash(x)) * times
+        seen = np.bincount(gate, times, gates)
+        grad = np.stack([np.bincount(gate, v * error, gates) for v in xs], axis=1) / np.maximum(seen, 1)[:, None]
         self.squares += grad * grad
         self.weights += 0.05 * grad / np.sqrt(self.squares)
-        low, part = self.place(self.mixed(xs, gate))
-        for step, share in ((low, 1 - part), (low + 1, part)):
-            np.add.at(self.hits, (node, step), share * bit * times)
-            np.add.at(self.seen, (node, step), share * times)
-
-
-class Model:
-    """The predictors over one table in memory, for vocabularies that fit it; lm_scores goes by groups of words."""
-
-    def __init__(self, classes: Classes, code: Code, counts: np.ndarray, sizes: dict[int, int], texts: list[list[bytes]]):
-        self.classes, self.code, self.mixer, self.counts = classes, code, Mixer(), counts
-        n = np.array([sizes.get(k, 0) + 1 for k in range(classes.k)], np.float64)
-        self.shares = np.log10(n / n.sum())
-        self.stretched = _stretch((_N1 + EVEN) / (_N0 + _N1 + 2 * EVEN)).astype(np.float32)
-        self.levels = _level(_N0 + _N1)
-        self._fit(texts)
-
-    def _fit(self, texts: list[list[bytes]]) -> None:
-        for words in texts:
-            own = Bytes(words, self.classes.of(words))
-            times = np.bincount(own.use, minlength=len(own.data)).astype(np.float64)
-            for rows, node, bit in self.code.decisions(own.data):
-                xs, levels = [], []
-                for s in own.slots(rows, node):
-                    both = self.counts[s]
-                    n0 = np.maximum(_N0[both] - (1 - bit), 0)  # without this occurrence
-                    n1 = np.maximum(_N1[both] - bit, 0)
-                    xs.append(_stretch((n1 + EVEN) / (n0 + n1 + 2 * EVEN)))
-                    levels.append(_level(n0 + n1))
-                self.mixer.learn(xs, self._gate(levels), node, bit, times[rows])
-
-    @staticmethod
-    def _gate(levels: list[np.ndarray]) -> np.ndarray:
-        return levels[-1].astype(np.int64) * LEVELS + levels[-2]
-
-    def log10(self, words: list[bytes], group: int) -> np.ndarray:
-        """log10 probability of each word in a class."""
-        found = []
-        for part in blocks(words):
-            own = Bytes(words[part], group)
-            total = np.zeros(len(own.data))
-            for rows, node, bit in self.code.decisions(own.data):
-                seen = [self.counts[s] for s in own.slots(rows, node)]
-                gate = self._gate([self.levels[c] for c in seen[-2:]])
-                p = self.mixer.refined(self.mixer.mixed([self.stretched[c] for c in seen], gate), node)
-                total[rows] += np.log10(np.where(bit == 1, p, 1 - p))
-            found.append(np.bincount(own.word, total[own.use], part.stop - part.start))
-        return np.concatenate(found) if found else np.zeros(0)
+        self.learnt += seen
+        if note:
+            low, part = self.place(x)
+            at, share = np.concatenate([node * STEPS + low, node * STEPS + low + 1]), np.concatenate([(1 - part) * times, part * times])
+            self.hits += np.bincount(at, share * np.tile(bit, 2), self.hits.size).reshape(self.hits.shape)
+            self.seen += np.bincount(at, share, self.seen.size).reshape(self.seen.shape)
+
+    def sums(self) -> np.ndarray:
+        """What merged() adds up: weights by tokens, tokens, and what the map has learnt."""
+        fresh = Mixer(self.weights.shape[1], len(self.weights), len(self.hits))
+        parts = (self.weights * self.learnt[:, None], self.learnt, self.hits - fresh.hits, self.seen - fresh.seen)
+        return np.concatenate([x.ravel() for x in parts])
+
+    def merged(self, sums: np.ndarray) -> Mixer:
+        """A fresh mixer's shape filled with the sums of several that learnt apart."""
+        gates, inputs = self.weights.shape
+        cuts = np.cumsum([gates * inputs, gates, self.hits.size])
+        weights, learnt, hits, seen = np.split(sums, cuts)
+        known = learnt > 0
+        self.weights[known] = weights.reshape(gates, inputs)[known] / learnt[known, None]
+        self.learnt, self.hits, self.seen = learnt, self.hits + hits.reshape(self.hits.shape), self.seen + seen.reshape(self.seen.shape)
+        return self
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 1
 
 
-def frequent_words(texts: DataFrame) -> list[bytes]:
-    """The FEATURES most frequent words of all texts."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        def send(seen):
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-
-        seen: Counter = Counter()
-        for batch in batches:
-            for data in batch.column("text").cast(pa.binary()).to_pylist():
-                seen.update((data or b"").lower().split())
-                if len(seen) >= COUNTED:
-                    yield send(seen)
-                    seen = Counter()
-        if seen:
-            yield send(seen)
-
-    counts = texts.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-    return [bytes(r[0]) for r in counts.orderBy(F.col("c").desc(), "word").limit(FEATURES).collect()]
-
-
-def classes_of(texts: DataFrame) -> Classes:
-    """Classes fitted on all texts."""
-    classes = Classes([])
-    classes.at = {w: i for i, w in enumerate(frequent_words(texts))}
-    n = len(classes.at)
-    if not n:
-        return classes
-    at = classes.at
-
-    def count(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            found = []
-            for data in batch.column("text").cast(pa.binary()).to_pylist():
-                seen = [i for i in map(at.get, (data or b"").lower().split()) if i is not None]
-                found.append(np.bincount(seen, minlength=n).astype(np.uint32).tobytes() if seen else bytes(4 * n))
-            h = [xxhash.xxh64_intdigest(x) >> 1 for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(found, pa.binary())], ["h", "x"])
-
-    rows = cut(texts.select("text").mapInArrow(count, "h long, x binary"))
-    classes.k = max(1, min(CLASSES, rows.count() // 16))
-    if classes.k == 1:
-        classes.logs = np.zeros((1, n))
-        return classes
-    first = dict.fromkeys(bytes(r[0]) for r in rows.orderBy("h", "x").select("x").limit(8 * STARTS * CLASSES).collect())
-    first = np.array([np.frombuffer(x, np.uint32) for x in first], np.float64)
-    drawn = [np.random.default_rng(s).choice(len(first), classes.k, replace=len(first) < classes.k) for s in range(STARTS)]
-    logs = np.stack([Classes._smooth(first[d]) for d in drawn])
-    k = classes.k
-
-    def fitted(logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each start the fit of all texts, and the classes that follow."""
-
-        def run(batches):
-            import pyarrow as pa
-
-            fits, sums = np.zeros(STARTS), np.zeros((STARTS, k, n))
-            for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.frombuffer(b"".join(batch.column("x").to_pylist()), np.uint32).reshape(-1, n).astype(np.float64)
-                fit = (x @ logs.reshape(-1, n).T).reshape(len(x), STARTS, k)
-                fits += fit.max(axis=2).sum(axis=0)
-                own = fit.argmax(axis=2)[:, :, None] == np.arange(k)
-                sums += (own.reshape(len(x), -1).T.astype(np.float64) @ x).reshape(sums.shape)
-            yield pa.RecordBatch.from_arrays([pa.array([fits.tobytes()]), pa.array([sums.tobytes()])], ["fits", "sums"])
-
-        found = rows.mapInArrow(run, "fits binary, sums binary").collect()
-        fits, sums = (sum(np.frombuffer(r[i], np.float64) for r in found) for i in (0, 1))
-        return fits, np.stack([Classes._smooth(x) for x in sums.reshape(STARTS, k, n)])
-
-    for _ in range(ROUNDS):
-        fits, logs = fitted(logs)
-    classes.logs = logs[int(fits.argmax())]
-    return classes
-
-
 def byte_counts(words: DataFrame) -> np.ndarray:
     """How often each byte is written for all training tokens of words."""
 
     def run(batches):
-        import pyarrow as pa
-
         seen = np.zeros(256)
         for batch in batches:
             parts, c = batch.column("word").to_pylist(), batch.column("c").to_numpy().astype(np.float64)
@@ -415,31 +248,71 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(r[0], np.float64) for r in found), np.zeros(256))
 
 
-def word_counts(docs: DataFrame, classes) -> DataFrame:
-    """class, word (binary), c of all tokens of the column text; c counts rows with train only. classes is broadcast."""
+class Tokens:
+    """The tokens of some texts: their numbers in `words` (distinct, the end last), one text after another, and where texts begin."""
+
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        flat, ends = lists.flatten(), np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        coded = flat.dictionary_encode()
+        distinct, codes = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        if b"" in distinct:  # before and behind a text's outer blanks
+            blank = codes == distinct.index(b"")
+            ends = ends - np.r_[0, np.cumsum(blank)][ends]
+            codes = codes[~blank]
+        self.words = [*distinct, END]
+        self.codes = np.insert(codes.astype(np.int64), ends, len(distinct))
+        self.ends = ends + np.arange(1, len(texts) + 1)
+        self.starts = np.r_[0, self.ends[:-1]].astype(np.int64)
+        self.lengths = self.ends - self.starts
+
+
+def text_blocks(batch: pa.RecordBatch):
+    """Parts of a batch whose column text has about TEXTS bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(batch):
+        last = int(np.searchsorted(size, (size[first - 1] if first else 0) + TEXTS)) + 1
+        yield batch.slice(first, min(last, len(batch)) - first)
+        first = last
+
+
+def read(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From one reading of the texts of (id, text, train): words and segments.
+
+    word (binary), c: all words; c counts those of rows with train. key, train, a, b, s: arrays of a row's segments.
+    """
+    schema = "word binary, c long, key binary, train boolean, a array<long>, b array<long>, s array<long>"
+    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.bool_(), *[pa.list_(pa.int64())] * 3]
+    names = ["word", "c", "key", "train", "a", "b", "s"]
 
     def run(batches):
-        import pyarrow as pa
+        def send():
+            rows = [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())]
+            return pa.RecordBatch.from_arrays(rows + [pa.nulls(len(seen), k) for k in kinds[2:]], names)
 
-        def send(seen):
-            rows = [(k, w, n if train else 0) for (k, train), words in seen.items() for w, n in words.items()]
-            k, w, n = zip(*rows)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(k, pa.int32()), pa.array(w, pa.binary()), pa.array(n, pa.int64())], ["class", "word", "c"]
-            )
-
-        seen: dict[tuple, Counter] = {}
+        seen: dict[bytes, int] = {}
         for batch in batches:
-            for data, train in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("train").to_pylist()):
-                words = tokens(data)
-                seen.setdefault((classes.value.of(words), train), Counter()).update(words)
-                if sum(map(len, seen.values())) >= COUNTED:
-                    yield send(seen)
+            for part in text_blocks(batch):
+                found, train = Tokens(part.column("text")), part.column("train").to_numpy(zero_copy_only=False)
+                times = np.bincount(found.codes, np.repeat(train, found.lengths), len(found.words)).astype(np.int64)
+                there = np.bincount(found.codes, minlength=len(found.words)) > 0
+                for word, n, known in zip(found.words, times.tolist(), there.tolist()):
+                    if known:
+                        seen[word] = seen.get(word, 0) + n
+                if len(seen) >= COUNTED:
+                    yield send()
                     seen = {}
-        if seen:
-            yield send(seen)
+                begins, *columns = lm_match.segments(keys_of(found.words).view(np.uint64)[found.codes], found.starts)
+                cuts = pa.array(np.searchsorted(begins, np.r_[found.starts, len(found.codes)]), pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(c.view(np.int64))) for c in columns]
+                blank = [pa.nulls(len(part), k) for k in kinds[:2]]
+                yield pa.RecordBatch.from_arrays([*blank, lm_match.keys_of(part), part.column("train"), *lists], names)
+        yield send()
 
-    return docs.select("text", "train").mapInArrow(run, "class int, word binary, c long").groupBy("class", "word").agg(F.sum("c").alias("c"))
+    rows = cut(docs.mapInArrow(run, schema))
+    words = rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
+    return words, rows.filter("key IS NOT NULL").select("key", "train", "a", "b", "s")
 
 
 def _pack(x: np.ndarray | bytes) -> bytes:
@@ -451,43 +324,39 @@ def _unpack(data, kind) -> np.ndarray:
 
 
 def groups_of(counts: DataFrame, n_words: int, size: int = BLOCK) -> DataFrame:
-    """id, class, words, times: sorted words of a class in groups of about size bytes."""
+    """id, words, times: sorted words in groups of about size bytes."""
 
     def pack(batches):
-        import pyarrow as pa
-
         first, made = TaskContext.get().partitionId() << 32, 0
 
-        def group(k, words, times):
-            row = [first + made], [k], [_pack(b" ".join(words))], [_pack(np.array(times, np.int64))]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["id", "class", "words", "times"]
-            )
+        def group():
+            row = [first + made], [_pack(b" ".join(words))], [_pack(np.array(times, np.int64))]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary()))], ["id", "words", "times"])
 
-        words, times, held, at = [], [], 0, None
+        words, times, held = [], [], 0
         for batch in batches:
-            for k, w, c in zip(*(batch.column(n).to_pylist() for n in ("class", "word", "c"))):
-                if words and (k != at or held >= size):
-                    yield group(at, words, times)
+            for w, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                if words and held >= size:
+                    yield group()
                     words, times, held, made = [], [], 0, made + 1
                 words.append(w)
                 times.append(c)
-                held, at = held + len(w) + 1, k
+                held += len(w) + 1
         if words:
-            yield group(at, words, times)
+            yield group()
 
     parts = max(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words // 100_000)
-    ordered = counts.repartitionByRange(parts, "class", "word").sortWithinPartitions("class", "word")
-    return cut(ordered.mapInArrow(pack, "id long, class int, words binary, times binary"))
+    ordered = counts.repartitionByRange(parts, "word").sortWithinPartitions("word")
+    return cut(ordered.mapInArrow(pack, "id long, words binary, times binary"))
 
 
 class Group:
     """A group's decisions: the unique (prefix, byte) of each, node, bit, tokens, and the places of their contexts' counts."""
 
-    def __init__(self, group: int, words, times, code: Code):
+    def __init__(self, words, times, code: Code):
         self.words = zstandard.decompress(bytes(words)).split(b" ")
         self.times = _unpack(times, np.int64)
-        self.own = Bytes(self.words, group)
+        self.own = Bytes(self.words)
         weight = np.bincount(self.own.use, self.times.astype(np.float64)[self.own.word], len(self.own.data))
         self.rows, self.node, self.bit = (np.concatenate(x) for x in zip(*code.decisions(self.own.data)))
         self.weight = weight[self.rows]
@@ -497,7 +366,7 @@ class Group:
         *short, whole = self.own.keys(self.rows, self.node)
         salted = [k ^ np.uint64((i + 1) * 0x9FB21C651E98DF25 % (1 << 64)) for i, k in enumerate((*short, whole))]
         shared = self.own.shared[self.rows]
-        found = [np.unique(k, return_inverse=True) for k in (*salted[:-1], salted[-1][shared], salted[-1][~shared])]
+        found = [pd.factorize(k)[::-1] for k in (*salted[:-1], salted[-1][shared], salted[-1][~shared])]
         keys = np.concatenate([k for k, _ in found[:-1]])
         order = np.argsort(keys, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -519,54 +388,52 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def counted(groups: DataFrame, code: Code, n_words: int) -> DataFrame:
-    """groups with codes: compact counts over all groups, for each decision of a group a row of as many as CONTEXTS."""
+    """groups with codes: compact counts over all groups, for each decision of a group a row of as many as CONTEXTS.
+
+    A row without words is what a group's mixer has learnt (sums) from the group's decisions.
+    """
     buckets = max(1, -(-n_words // BUCKET_WORDS))
 
     def gather(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            for at, k, words, times in zip(*(batch.column(n).to_pylist() for n in ("id", "class", "words", "times"))):
-                group = Group(k, words, times, code)
+            for at, words, times in zip(*(batch.column(n).to_pylist() for n in ("id", "words", "times"))):
+                group = Group(words, times, code)
                 group.contexts()
                 cuts = np.searchsorted(bucket_of(group.keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
                 full = [b for b in range(buckets) if cuts[b] < cuts[b + 1]]
                 parts = [slice(cuts[b], cuts[b + 1]) for b in full]
-                n = group.n.astype(np.float32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int64()), pa.array([at] * len(full), pa.int64()), pa.array([_pack(group.keys[p]) for p in parts], pa.binary()),
-                     pa.array([_pack(np.ascontiguousarray(n[:, p])) for p in parts], pa.binary())],
+                     pa.array([_pack(np.ascontiguousarray(group.n[:, p])) for p in parts], pa.binary())],
                     ["bucket", "id", "keys", "n"],
                 )
 
     def add(batch):
-        import pandas as pd
-
         keys = [_unpack(k, np.uint64) for k in batch["keys"]]
-        n = np.concatenate([_unpack(x, np.float32).reshape(2, -1) for x in batch["n"]], axis=1)
+        n = np.concatenate([_unpack(x, np.float64).reshape(2, -1) for x in batch["n"]], axis=1)
         unique, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         codes = np.split(compact(*(np.bincount(inverse, x, len(unique)) for x in n))[inverse], np.cumsum([len(k) for k in keys])[:-1])
         return pd.DataFrame({"id": batch["id"], "bucket": batch["bucket"], "codes": [_pack(c) for c in codes]})
 
     def solve(batches):
-        import pyarrow as pa
-
+        names, types = ["id", "words", "times", "codes", "sums"], [pa.int64(), *[pa.binary()] * 4]
+        learnt = 0
         for batch in batches:
-            for at, k, words, times, parts in zip(*(batch.column(n).to_pylist() for n in ("id", "class", "words", "times", "parts"))):
-                group = Group(k, words, times, code)
+            for at, words, times, parts in zip(*(batch.column(n).to_pylist() for n in ("id", "words", "times", "parts"))):
+                group = Group(words, times, code)
                 group.contexts()
                 found = compact(*group.n)
                 found[: len(group.keys)] = np.concatenate([_unpack(p["codes"], np.uint16) for p in sorted(parts, key=lambda p: p["bucket"])])
                 codes = np.stack([found[at] for at in group.at])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at], pa.int64()), pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in (words, times, _pack(codes)))],
-                    ["id", "class", "words", "times", "codes"],
-                )
+                learnt = learnt + learn(group, codes).sums()
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((at, words, times, _pack(codes), None), types)], names)
+        if not np.isscalar(learnt):
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((None, None, None, None, learnt.tobytes()), types)], names)
 
     sums = groups.mapInArrow(gather, "bucket long, id long, keys binary, n binary").groupBy("bucket").applyInPandas(add, "id long, bucket long, codes binary")
     back = sums.groupBy("id").agg(F.collect_list(F.struct("bucket", "codes")).alias("parts"))
-    own = "id long, class int, words binary, times binary"
-    return cut(groups.join(back, "id").select("id", "class", "words", "times", "parts").mapInArrow(solve, f"{own}, codes binary"))
+    joined = groups.join(back, "id").select("id", "words", "times", "parts")
+    return cut(joined.mapInArrow(solve, "id long, words binary, times binary, codes binary, sums binary"))
 
 
 #: Of each pair of counts: stretched prediction and level; without an occurrence of 0, without one of 1, and with all.
@@ -581,225 +448,143 @@ def predictions(codes: np.ndarray, left: np.ndarray | int):
     return xs, _LEVELS[left, codes[-1]].astype(np.int64) * LEVELS + _LEVELS[left, codes[-2]]
 
 
-def mixer_of(words: DataFrame, code: Code) -> Mixer:
-    """Weights and map fitted on all training tokens of counted words."""
+def learn(group: Group, codes: np.ndarray) -> Mixer:
+    """A mixer that has learnt all training decisions of a group, each out of its own counts, in a mixed order."""
     mixer = Mixer()
-
-    def total(of) -> np.ndarray:
-        """The sums of of(xs, gate, node, bit, weight) over all groups."""
-
-        def run(batches):
-            import pyarrow as pa
-
-            sums = 0
-            for batch in batches:
-                for k, w, t, c in zip(*(batch.column(n).to_pylist() for n in ("class", "words", "times", "codes"))):
-                    group = Group(k, w, t, code)
-                    there = np.flatnonzero(group.weight)
-                    if len(there):
-                        bit = group.bit[there]
-                        xs, gate = predictions(_unpack(c, np.uint16).reshape(len(CONTEXTS), -1)[:, there], bit)
-                        sums = sums + of(xs, gate, group.node[there], bit, group.weight[there])
-            if not np.isscalar(sums):
-                yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary())], ["sums"])
-
-        return sum((np.frombuffer(r[0], np.float64) for r in words.mapInArrow(run, "sums binary").collect()), np.zeros(1))
-
-    n, gates = len(CONTEXTS), LEVELS * LEVELS
-
-    def slopes(xs, gate, node, bit, weight):
-        out = np.zeros((gates, n * n + n + 1))
-        z = mixer.mixed(xs, gate)
-        p = _squash(z)
-        cost, error, bend = -weight * np.log(np.where(bit == 1, p, 1 - p)), (bit - p) * weight, p * (1 - p) * weight
-        x = np.stack(xs, axis=1).astype(np.float64)
-        for g in range(gates):
-            at = np.flatnonzero(gate == g)
-            if len(at):
-                own = x[at]
-                out[g] = [*(own.T @ (own * bend[at, None])).ravel(), *(own.T @ error[at]), cost[at].sum()]
-        return out.ravel()
-
-    best, before = np.full(gates, np.inf), mixer.weights.copy()
-    for _ in range(NEWTON):
-        sums = total(slopes)
-        if len(sums) == 1:
-            return mixer
-        sums = sums.reshape(gates, -1)
-        for g, (bends, slope, cost) in enumerate(zip(sums[:, : n * n], sums[:, n * n : -1], sums[:, -1])):
-            if cost > best[g]:  # stepped too far
-                mixer.weights[g] = (before[g] + mixer.weights[g]) / 2
-                continue
-            best[g], before[g] = cost, mixer.weights[g]
-            pull = 1 + 1e-6 * np.trace(bends.reshape(n, n))
-            step = np.linalg.solve(bends.reshape(n, n) + pull * np.eye(n), slope - pull * (mixer.weights[g] - 0.3))
-            mixer.weights[g] = mixer.weights[g] + step / max(1, np.abs(step).max())
-
-    def map_hits(xs, gate, node, bit, weight):
-        low, part = mixer.place(mixer.mixed(xs, gate))
-        at = np.concatenate([node * STEPS + low, node * STEPS + low + 1])
-        share = np.concatenate([(1 - part) * weight, part * weight])
-        return np.concatenate([np.bincount(at, share * np.tile(bit, 2), 255 * STEPS), np.bincount(at, share, 255 * STEPS)])
-
-    hits, seen = total(map_hits).reshape(2, 255, STEPS)
-    mixer.hits, mixer.seen = mixer.hits + hits, mixer.seen + seen
+    there = np.flatnonzero(group.weight)
+    there = there[np.argsort(there.astype(np.uint64) * _K, kind="stable")]
+    for i in range(0, len(there), BATCH):
+        part = there[i : i + BATCH]
+        bit = group.bit[part]
+        mixer.learn(*predictions(codes[:, part], bit), group.node[part], bit, group.weight[part])
     return mixer
 
 
+def mixer_of(words: DataFrame) -> Mixer:
+    """The groups' mixers, averaged by tokens."""
+    rows = words.filter("words IS NULL").select("sums").collect()  # one for each task
+    return Mixer().merged(sum(np.frombuffer(r[0], np.float64) for r in rows)) if rows else Mixer()
+
+
 def word_scores(words: DataFrame, code: Code, mixer) -> DataFrame:
-    """k, word, c, score: hash of class and word, training count in the class and log10 probability; mixer is broadcast."""
+    """k, c, score, own: a word's hash, its training count, and its log10 probability by all counts and without one occurrence; mixer is broadcast."""
 
     def run(batches):
-        import pyarrow as pa
+        def total(group, xs, gate):
+            p = mixer.value.refined(mixer.value.mixed(xs, gate), group.node)
+            cost = np.bincount(group.rows, np.log10(np.where(group.bit == 1, p, 1 - p)), len(group.own.data))
+            return np.bincount(group.own.word, cost[group.own.use], len(group.words))
 
         for batch in batches:
-            for k, w, t, codes in zip(*(batch.column(n).to_pylist() for n in ("class", "words", "times", "codes"))):
-                group = Group(k, w, t, code)
-                xs, gate = predictions(_unpack(codes, np.uint16).reshape(len(CONTEXTS), -1), 2)
-                p = mixer.value.refined(mixer.value.mixed(xs, gate), group.node)
-                cost = np.bincount(group.rows, np.log10(np.where(group.bit == 1, p, 1 - p)), len(group.own.data))
-                score = np.bincount(group.own.word, cost[group.own.use], len(group.words))
-                keys = np.array([key_of(k, x) for x in group.words], np.int64)
+            for w, t, codes in zip(*(batch.column(n).to_pylist() for n in ("words", "times", "codes"))):
+                group, codes = Group(w, t, code), _unpack(codes, np.uint16).reshape(len(CONTEXTS), -1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), pa.array(group.words, pa.binary()), pa.array(group.times), pa.array(score)], ["k", "word", "c", "score"]
+                    [pa.array(keys_of(group.words)), pa.array(group.times), pa.array(total(group, *predictions(codes, 2))), pa.array(total(group, *predictions(codes, group.bit)))],
+                    ["k", "c", "score", "own"],
                 )
 
-    return words.mapInArrow(run, "k long, word binary, c long, score double")
+    return words.filter("words IS NOT NULL").mapInArrow(run, "k long, c long, score double, own double")
 
 
-def key_of(group: int, word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, 42 + group)
-    return h - (1 << 64) if h >> 63 else h
+def keys_of(words: list[bytes]) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
 
 
 def _columns(rows: DataFrame) -> list[np.ndarray]:
-    """k, c and score of a table of bounded size as arrays sorted by k; they reach the driver as packed bytes, not as rows."""
-    kinds = {"k": np.int64, "c": np.int64, "score": np.float64}
+    """k, c, score and own of a table of bounded size as arrays sorted by k; they reach the driver as packed bytes, not as rows."""
+    kinds = {"k": np.int64, "c": np.int64, "score": np.float64, "own": np.float64}
 
     def pack(batches):
-        import pyarrow as pa
-
         for batch in batches:
             parts = [pa.array([batch.column(n).to_numpy().astype(t).tobytes()], pa.binary()) for n, t in kinds.items()]
             yield pa.RecordBatch.from_arrays(parts, list(kinds))
 
-    found = rows.select(*kinds).mapInArrow(pack, "k binary, c binary, score binary").collect()
+    found = rows.select(*kinds).mapInArrow(pack, "k binary, c binary, score binary, own binary").collect()
     columns = [np.frombuffer(b"".join(r[i] for r in found), t) for i, t in enumerate(kinds.values())]
     order = columns[0].argsort()
     return [x[order] for x in columns]
 
 
-class _Words:
-    """A worker's words by class: their places, model scores, counts (-1: not in the broadcast table) and hashes."""
-
-    def __init__(self, k: int, hashes: np.ndarray, counts: np.ndarray, scores: np.ndarray):
-        self.k, self.hashes, self.counts, self.scores = k, hashes, counts, scores
-        self.clear()
-
-    def clear(self):
-        self.at: list[dict[bytes, int]] = [{} for _ in range(self.k)]
-        self.score, self.count, self.hash = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, texts: list[tuple[int, list[bytes]]]) -> None:
-        if len(self.score) > REMEMBERED:
-            self.clear()
-        for k, known in enumerate(self.at):
-            new = list({w for c, words in texts if c == k for w in words if w not in known})
-            if not new:
-                continue
-            h = np.array([key_of(k, w) for w in new], np.int64)
-            c, score = np.full(len(h), -1), np.zeros(len(h))
-            if len(self.hashes):
-                i = np.minimum(self.hashes.searchsorted(h), len(self.hashes) - 1)
-                there = self.hashes[i] == h
-                c[there], score[there] = self.counts[i[there]], self.scores[i[there]]
-            known.update(zip(new, range(len(self.score), len(self.score) + len(new))))
-            self.score = np.concatenate([self.score, score])
-            self.count, self.hash = np.concatenate([self.count, c]), np.concatenate([self.hash, h])
-
-
-_WORKER: dict[str, _Words] = {}
-
-
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", top: int = TOP_WORDS) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte for each row of docs."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    classes = classes_of(docs.filter(~F.col("held_out")))
-    by_class = cut(word_counts(docs.select("text", (~F.col("held_out")).alias("train")), spark.sparkContext.broadcast(classes)))
-    code = Code([], byte_counts(by_class))
-    vocabulary = by_class.filter("c > 0").groupBy(F.xxhash64("word")).agg(F.sum("c").alias("c"))
-    n, v = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    n_words = by_class.count()
-    sizes = dict(by_class.filter(F.col("word") == F.lit(END)).select("class", "c").collect())  # a row for each class
-    shares = np.array([sizes.get(k, 0) + 1 for k in range(classes.k)], np.float64)
-    shares = np.log10(shares / shares.sum())
-    words = counted(groups_of(by_class, n_words), code, n_words)
-    scored = word_scores(words, code, spark.sparkContext.broadcast(mixer_of(words, code)))
-    lexicon = cut(scored.select("k", "score", F.sum("c").over(W.partitionBy("word")).alias("c")))
+    counts, places = read(docs.select("id", "text", (~F.col("held_out")).alias("train")))
+    counts = cut(counts)
+    code = Code([], byte_counts(counts))
+    n, v, n_words = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count("*")).first()
+    words = counted(groups_of(counts, n_words), code, n_words)
+    lexicon = cut(word_scores(words, code, spark.sparkContext.broadcast(mixer_of(words))))
     rank = F.floor(F.log2(F.col("c") + 1) * 8)
     held, cutoff = 0, 1 << 20  # the lowest rank from which on words fit the broadcast table
-    for r, found in sorted(lexicon.groupBy(rank.alias("r")).count().collect(), reverse=True):
+    for r, found in sorted(lexicon.groupBy(rank.alias("r")).count().collect(), reverse=True):  # a few hundred ranks at most
         held += found
         if held > top:
             break
         cutoff = r
-    shared = spark.sparkContext.broadcast((classes, shares, *_columns(lexicon.filter(rank >= cutoff))))
-    name, below = f"{spark.sparkContext.applicationId}-{uuid.uuid4().hex}", n + 0.5 * (v + 1)
+    shared = spark.sparkContext.broadcast(_columns(lexicon.filter(rank >= cutoff)))
+    below = n + 0.5 * (v + 1)
     kind = docs.schema["id"].dataType.simpleString()
+    runs = lm_match.decisions(places)
 
     def score(batches):
-        import pyarrow as pa
-
-        classes, shares, *columns = shared.value
-        if name not in _WORKER:
-            _WORKER.clear()
-            _WORKER[name] = _Words(classes.k, *columns)
-        own, row = _WORKER[name], TaskContext.get().partitionId() << 40
-
-        def groups(batch):
-            found, size, first = [], 0, 0
-            for i, data in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
-                words = tokens(data)
-                found.append((classes.of(words), words, len(data or b"")))
-                size += len(data or b"")
-                if size >= TEXTS or i == len(batch) - 1:
-                    part = batch.slice(first, len(found))
-                    yield part.column("id"), part.column("held_out"), found
-                    found, size, first = [], 0, i + 1
-
+        hashes, counts, *scores = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for ids, held, found in groups(batch):
-                own.learn([x[:2] for x in found])
-                out = []
-                for k, words, size in found:
-                    at = np.fromiter(map(own.at[k].__getitem__, words), np.int64, len(words))
-                    total, c = float(own.score[at].sum() + shares[k]), own.count[at]
-                    there = c >= 0
-                    base = float(np.log10((c[there] + 0.5) / below).sum())
-                    out.append((row, size, len(words), int((c > 0).sum()), base, total, own.hash[at[~there]]))
-                    row += 1
-                types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays(
-                    [ids, held, *(pa.array(list(c), t) for c, t in zip(zip(*out), types))],
-                    ["id", "held_out", "row", "size", "n_tokens", "n_top", "base_top", "score_top", "rare"],
-                )
-
-    first = cut(
-        docs.mapInArrow(
-            score,
-            f"id {kind}, held_out boolean, row long, size long, n_tokens long, n_top long, base_top double, score_top double,"
-            " rare array<long>",
-        )
+            for part in text_blocks(batch):
+                found = Tokens(part.column("text"))
+                h = keys_of(found.words)
+                at = np.minimum(hashes.searchsorted(h), max(len(hashes) - 1, 0))
+                there = hashes[at] == h if len(hashes) else np.zeros(len(h), bool)
+                c = np.where(there, counts[at] if len(hashes) else 0, -1)
+                by_fold = [np.where(there, x[at] if len(hashes) else 0.0, 0.0) for x in scores]
+                base = np.where(there, np.log10((np.maximum(c, 0) + 0.5) / below), 0.0)
+                codes, held = found.codes, part.column("held_out").to_numpy(zero_copy_only=False)
+                each = np.where(np.repeat(held, found.lengths), by_fold[0][codes], by_fold[1][codes])
+                begins = lm_match.segments(h.view(np.uint64)[codes], found.starts)[0]
+                rare = np.flatnonzero(~there[codes])
+                total = lambda x: np.add.reduceat(x, found.starts)
+                of_text = lambda x: np.searchsorted(x, np.r_[found.starts, len(codes)])
+                first_segment = of_text(begins)
+                rare_at = np.searchsorted(begins, rare, "right") - np.repeat(first_segment[:-1], np.diff(of_text(rare)))
+                lists = lambda x, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x))
+                columns = {
+                    "id": part.column("id"), "held_out": part.column("held_out"),
+                    "row": pa.array(np.arange(row, row + len(part))), "key": lm_match.keys_of(part),
+                    "size": pc.fill_null(pc.binary_length(part.column("text")), 0).cast(pa.int64()),
+                    "n_tokens": pa.array(found.lengths), "n_top": pa.array(total((c > 0).astype(np.int64)[codes])),
+                    "base_top": pa.array(total(base[codes])), "score_top": pa.array(total(each)),
+                    "segments": lists(lm_match.sums(each, begins, found.starts), first_segment),
+                    "rare": lists(h[codes[rare]], of_text(rare)), "rare_at": lists(rare_at.astype(np.int32), of_text(rare)),
+                }
+                row += len(part)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    first = docs.mapInArrow(
+        score,
+        f"id {kind}, held_out boolean, row long, key binary, size long, n_tokens long, n_top long, base_top double, score_top double,"
+        " segments array<double>, rare array<long>, rare_at array<int>",
     )
-    joined = first.select("row", F.explode("rare").alias("k")).join(lexicon.filter(rank < cutoff), "k")
+    # a segment that its decision has written is not written word by word
+    hits = F.coalesce("hits", F.array().cast("array<int>"))
+    written = F.aggregate(hits, F.lit(0.0), lambda a, i: a + F.element_at("segments", i))
+    kept = cut(
+        cut(first).join(runs, "key", "left").select(
+            "id", "held_out", "row", "size", "n_tokens", "n_top", "base_top", "rare", "rare_at", hits.alias("hits"),
+            (F.col("score_top") - written + F.coalesce("run_score", F.lit(0.0))).alias("score_top"),
+        )
+    )
+    each = kept.select("row", "held_out", "hits", F.explode(F.arrays_zip("rare", "rare_at")).alias("x"))
+    each = each.select("row", "held_out", F.col("x.rare").alias("k"), F.array_contains("hits", F.col("x.rare_at")).alias("done"))
+    joined = each.join(lexicon.filter(rank < cutoff), "k")
     late = joined.groupBy("row").agg(
         F.sum((F.col("c") > 0).cast("long")).alias("n_rare"),
         F.sum(F.log10((F.col("c") + 0.5) / F.lit(below))).alias("base_rare"),
-        F.sum("score").alias("score_rare"),
+        F.sum(F.when(F.col("done"), 0.0).when(F.col("held_out"), F.col("score")).otherwise(F.col("own"))).alias("score_rare"),
     )
     score_all = F.col("score_top") + F.coalesce("score_rare", F.lit(0.0))
-    return first.drop("rare").join(late, "row", "left").select(
+    return kept.drop("rare", "rare_at", "hits").join(late, "row", "left").select(
         F.col("id").alias(id_col), "held_out", "n_tokens",
         (F.col("n_top") + F.coalesce("n_rare", F.lit(0))).cast("long").alias("n_known"),
         F.lit(int(n)).cast("long").alias("train_tokens"),

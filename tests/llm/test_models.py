@@ -4,9 +4,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from geoloom.llm import ann, extract, langid, lm
+from geoloom.llm import ann, extract, langid, lm, lm_match
 
 SYLLABLES = {
     "aa": "ka ro mi tu sen vol par".split(), "bb": "xy wq zeh gru plo dri".split(), "cc": "émé çao lùi nèr tô".split(),
@@ -25,7 +27,7 @@ def docs(spark):
         lang = r.choice("aa aa aa bb cc".split())
         rows.append((i, prose(r, lang, r.randrange(5, 80)), lang if r.random() < 0.9 else None))
     rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 .. 4", None), (1003, prose(r, "bb", 60_000), "bb"), (None, "ka ro", "aa"), (3, rows[3][1], rows[3][2])]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumnRenamed("x", "score")
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("x")).withColumn("key", F.lit(1))
 
 
 def test_language_of_held_out_texts(docs):
@@ -79,33 +81,95 @@ def test_lm_base_against_brute_force(spark, docs):
         assert r["score"] < 0 and math.isfinite(r["score"])
     test = [r for r in got if r["held_out"] and r["n_tokens"] > 5]
     assert sum(r["score"] for r in test) > 1.15 * sum(r["base_score"] for r in test)
-    noise = lm.lm_scores(docs.unionByName(spark.createDataFrame([(5007, "q9 zz0 %% 77x k_k !!", "aa")], docs.schema))).filter("doc_id = 5007").first()
+    noise = lm.lm_scores(docs.unionByName(spark.createDataFrame([(5007, "q9 zz0 %% 77x k_k !!", "aa", "x", 1)], docs.schema))).filter("doc_id = 5007").first()
     assert noise["score"] / noise["n_tokens"] < 2 * sum(r["score"] for r in test) / sum(r["n_tokens"] for r in test)
 
 
 def test_lm_probabilities_add_up_to_one():
-    texts = [lm.tokens(b"ab abc b ab ca")] * 20
-    classes, code = lm.Classes(texts), lm.Code([b"ab abc b ab ca"])
-    table = np.zeros((2, lm.SLOTS), np.float32)
-    lm.add_counts(table, [b"ab", b"abc", b"b", lm.END], np.array([40, 20, 20, 20]), 0, code)
-    model = lm.Model(classes, code, lm.compact(*table), {0: 20}, texts)
-    firsts = [bytes([b]) * 1 for b in range(256)]
-    own = lm.Bytes([lm.END], 0)
+    """Of the 256 bytes that may come first, by counts from a few words and weights that have been learnt from them."""
+    code, times = lm.Code([b"ab abc b ab ca"]), np.array([40, 20, 20, 20])
+    known = lm.Group(lm._pack(b" ".join([b"ab", b"abc", b"b", lm.END])), lm._pack(times), code)
+    known.contexts()
+    counts = lm.compact(*known.n)
+    table = [dict(zip(k.tolist(), counts[at])) for k, at in zip(known.own.keys(known.rows, known.node), known.at)]
+    mixer = lm.Mixer().merged(sum(lm.learn(known, np.stack([counts[at] for at in known.at])).sums() for _ in range(3)))
     total = 0.0
-    for b in firsts:
-        data = lm.Bytes([b + b"x"], 0) if b != lm.END else own
-        at = 0 if b == lm.END else int(np.flatnonzero((data.data == b[0]))[0])
-        p = 1.0
-        for rows, node, bit in code.decisions(data.data):
-            if at in rows.tolist():
-                k = rows.tolist().index(at)
-                seen = [model.counts[s[k : k + 1]] for s in data.slots(rows, node)]
-                gate = model._gate([model.levels[s] for s in seen[-2:]])
-                q = model.mixer.refined(model.mixer.mixed([model.stretched[s] for s in seen], gate), node[k : k + 1])[0]
-                p *= q if bit[k] else 1 - q
-        total += p
+    for b in range(256):
+        word = lm.END if b == 10 else bytes([b]) + b"x" if b != 32 else b""
+        group = lm.Group(lm._pack(word), lm._pack(np.array([1])), code)
+        at = np.flatnonzero((group.rows == np.flatnonzero(group.own.hashes[0] == group.own.hashes[0][group.own.use[0]])[0]))
+        codes = np.array([[own.get(k, 0) for k in keys] for own, keys in zip(table, group.own.keys(group.rows, group.node))])
+        p = mixer.refined(mixer.mixed(*lm.predictions(codes, 2)), group.node)
+        total += np.prod(np.where(group.bit == 1, p, 1 - p)[at])
     assert total == pytest.approx(1, abs=1e-6)
-    assert model.log10([b"ab", b"zz"], 0)[0] > model.log10([b"ab", b"zz"], 0)[1]
+
+
+def copied(seed=8):
+    """Texts of which some share passages, some are copies; in order of id."""
+    r = random.Random(seed)
+    passage = prose(r, "aa", 120)
+    rows = [(i, prose(r, r.choice(["aa", "bb"]), r.randrange(0, 150))) for i in range(120)]
+    rows += [(200 + i, prose(r, "aa", r.randrange(5, 40)) + " " + passage + " " + prose(r, "aa", r.randrange(0, 40))) for i in range(12)]
+    rows += [(300 + i, rows[i][1]) for i in range(0, 60, 2)] + [(300, rows[0][1])] * 2
+    return rows
+
+
+def is_held(i):
+    return zlib.crc32(str(i).encode()) % 5 == 1
+
+
+def test_lm_decisions_against_brute_force(spark):
+    rows = copied()
+    docs = spark.createDataFrame([(i, t, not is_held(i)) for i, t in rows], "id long, text string, train boolean")
+    met = {(bytes(r["key"]), r["i"]): r for r in lm_match.candidates(lm.read(docs)[1]).collect()}
+    found = []  # (key, train, i, near context, far context, segment) as plain tuples of tokens
+    for i, t in rows:
+        words = lm.tokens(t.encode())
+        h = lm.keys_of(words).view(np.uint64)
+        begins = lm_match.segments(h, np.zeros(1, np.int64))[0].tolist()
+        for k, (x, y) in enumerate(zip(begins, begins[1:] + [len(words)])):
+            far = tuple(words[max(0, x - j - 4) : max(0, x - j)] for j in (0, 4, 8))
+            found.append((lm_match.xxhash.xxh3_128_digest(t.encode() + b"\0" + str(i).encode()), not is_held(i), k + 1, tuple(words[max(0, x - 4) : x]), str(far), tuple(words[x:y])))
+    want = set()
+    for n, (key, train, k, a, b, s) in enumerate(found):
+        others = [(x[3], x[4], x[5]) for j, x in enumerate(found) if x[1] and j != n]
+        after = Counter(x[2] for x in others if x[0] == a)
+        if after:
+            top = max(after.values())
+            r = met[key, k]
+            near = sum(after.values()) - top
+            choices = {(s == c, top, near, *(lambda g: (g[c], sum(g.values()) - g[c]))(Counter(x[2] for x in others if x[1] == b))) for c in after if after[c] == top}
+            assert (r["hit"], r["m"], r["o"], r["mb"], r["ob"]) in choices
+            want.add((key, k))
+    assert met.keys() == want and sum(r["hit"] for r in met.values()) > 100
+
+
+def test_lm_scores_are_the_sum_of_decisions_and_words(spark):
+    rows = copied(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = spark.createDataFrame([(i, t, not is_held(i)) for i, t in rows], "id long, text string, train boolean")
+    counts, places = lm.read(train)
+    counts = counts.cache()
+    code = lm.Code([], lm.byte_counts(counts))
+    words = lm.counted(lm.groups_of(counts, counts.count()), code, counts.count())
+    known = {r["k"]: r for r in lm.word_scores(words, code, spark.sparkContext.broadcast(lm.mixer_of(words))).collect()}
+    runs = {bytes(r["key"]): r for r in lm_match.decisions(places).collect()}
+    want = {}
+    for i, t in rows:
+        ws = lm.tokens(t.encode())
+        h = lm.keys_of(ws)
+        begins = [*lm_match.segments(h.view(np.uint64), np.zeros(1, np.int64))[0].tolist(), len(ws)]
+        run = runs.get(lm_match.xxhash.xxh3_128_digest(t.encode() + b"\0" + str(i).encode()))
+        done = {w for k in (run["hits"] if run else ()) for w in range(begins[k - 1], begins[k])}
+        each = [known[x]["score" if is_held(i) else "own"] for x in h.tolist()]
+        want[i] = sum(x for w, x in enumerate(each) if w not in done) + (run["run_score"] if run else 0)
+    for top in (10, 1_000_000):
+        for r in lm.lm_scores(docs, top=top).collect():
+            assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-6), r["doc_id"]
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in lm.lm_scores(docs).collect()}
+    twice = [i for i in range(0, 60, 2) if len(rows[i][1]) > 300 and not is_held(300 + i)]
+    once = [i for i in range(1, 60, 2) if len(rows[i][1]) > 300]
+    assert max(bits[i] for i in twice) < min(bits[i] for i in once)
 
 
 def test_lm_of_nothing(spark):
@@ -187,17 +251,16 @@ def test_neighbours_of_few_and_none(spark):
 
 def test_lm_contexts_are_counted_without_a_table_of_fixed_size(spark):
     r = random.Random(3)
-    words = {(k, prose(r, "aa", 1).encode()[:r.randrange(1, 12)]): r.randrange(0, 4) for k in (0, 1) for _ in range(600)}
-    words |= {(0, lm.END): 5, (1, lm.END): 2, (0, b"karo" * 2500): 1, (1, b"x" * 9000 + b"karo"): 2}
+    words = {prose(r, "aa", 1).encode()[:r.randrange(1, 12)]: r.randrange(0, 4) for _ in range(1200)}
+    words |= {lm.END: 5, b"karo" * 2500: 1, b"x" * 9000 + b"karo": 2}
     code = lm.Code([b"ab abc b ab ca"])
-    rows = spark.createDataFrame([(k, bytearray(w), c) for (k, w), c in words.items()], "class int, word binary, c long")
-    got = lm.counted(lm.groups_of(rows, len(words), 100), code, 200_000).collect()
+    rows = spark.createDataFrame([(bytearray(w), c) for w, c in words.items()], "word binary, c long")
+    got = lm.counted(lm.groups_of(rows, len(words), 100), code, 200_000).filter("words IS NOT NULL").collect()
     assert len(got) > 20, "words must fall in many groups"
     want, seen = Counter(), []
     for g in got:
-        group = lm.Group(g["class"], g["words"], g["times"], code)
-        *short, whole = group.own.keys(group.rows, group.node)
-        seen.append((g, [list(zip([i] * len(k), k.tolist())) for i, k in enumerate((*short, whole))]))
+        group = lm.Group(g["words"], g["times"], code)
+        seen.append((g, [list(zip([i] * len(k), k.tolist())) for i, k in enumerate(group.own.keys(group.rows, group.node))]))
         for keys in seen[-1][1]:
             for key, bit, weight in zip(keys, group.bit.tolist(), group.weight.tolist()):
                 want[key, bit] += weight
@@ -206,16 +269,18 @@ def test_lm_contexts_are_counted_without_a_table_of_fixed_size(spark):
         for keys, own in zip(contexts, codes):
             n = np.array([[want[k, b] for k in keys] for b in (0, 1)])
             np.testing.assert_array_equal(own, lm.compact(*n))
-    assert {(g["class"], w) for g in got for w in lm.Group(g["class"], g["words"], g["times"], code).words} == set(words)
+    assert {w for g in got for w in lm.Group(g["words"], g["times"], code).words} == set(words)
+
+
+def test_lm_tokens_of_blocks():
+    texts = [None, "", "a", " a  b\n", "  ", "x\x0by\x0cz\x1ce", "É A b", "A B c\u3000d"]
+    found = lm.Tokens(pa.array(texts, pa.string()))
+    for t, x, y in zip(texts, found.starts, found.ends):
+        assert [found.words[k] for k in found.codes[x:y]] == lm.tokens((t or "").encode())
+    assert not len(lm.Tokens(pa.array([], pa.string())).codes)
 
 
-def test_lm_classes_come_from_all_texts(spark):
-    r = random.Random(4)
-    texts = [prose(r, lang, 30) for lang in ("aa", "bb", "cc") for _ in range(450)]  # sorted: the first 384 are of one language
-    classes = lm.classes_of(spark.createDataFrame([(t,) for t in texts], "text string"))
-    own = [classes.of(lm.tokens(t.encode())) for t in texts]
-    by = [Counter(own[i : i + 450]) for i in (0, 450, 900)]
-    assert all(not by[i].keys() & by[j].keys() for i in range(3) for j in range(i))
+def test_lm_byte_counts(spark):
     seen = lm.byte_counts(spark.createDataFrame([(bytearray(b"zq"), 7), (bytearray(b"z"), 0), (bytearray(lm.END), 2)], "word binary, c long"))
     assert (seen[ord("z")], seen[ord("q")], seen[ord(" ")], seen[10], seen.sum()) == (7, 7, 7, 2, 23)
 
