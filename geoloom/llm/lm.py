@@ -51,16 +51,16 @@ END = b"\n"
 CONTEXTS = (1, 2, 3, 4, None)
 RUN = 4096
 #: Bytes of words in a group, and of texts that are scored together.
-BLOCK, TEXTS = 1 << 18, 8 << 20
+BLOCK, TEXTS = 1 << 17, 4 << 20
 #: The counts of so many words at most are broadcast.
 TOP_WORDS = 1_000_000
 #: Words that a counting task holds before it sends them on.
-COUNTED = 1_000_000
+COUNTED = 400_000
 EVEN = 0.4
 LEVELS = 4
 STEPS = 33
 #: Distinct words for each bucket of contexts, and decisions that a group learns from at a time.
-BUCKET_WORDS, BATCH = 60_000, 8192
+BUCKET_WORDS, BATCH = 20_000, 8192
 _K = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([pow(0xD6E8FEB86659FD93, i, 1 << 64) for i in range(RUN + 1)], np.uint64)
 
@@ -323,6 +323,12 @@ def _unpack(data, kind) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(bytes(data)), kind)
 
 
+def _rows(batch, *names: str):
+    """Rows of a batch, one by one: their bytes are large."""
+    for i in range(len(batch)):
+        yield [batch.column(n)[i].as_py() for n in names]
+
+
 def groups_of(counts: DataFrame, n_words: int, size: int = BLOCK) -> DataFrame:
     """id, words, times: sorted words in groups of about size bytes."""
 
@@ -396,7 +402,7 @@ def counted(groups: DataFrame, code: Code, n_words: int) -> DataFrame:
 
     def gather(batches):
         for batch in batches:
-            for at, words, times in zip(*(batch.column(n).to_pylist() for n in ("id", "words", "times"))):
+            for at, words, times in _rows(batch, "id", "words", "times"):
                 group = Group(words, times, code)
                 group.contexts()
                 cuts = np.searchsorted(bucket_of(group.keys, buckets), np.arange(buckets + 1, dtype=np.uint64))
@@ -419,7 +425,7 @@ def counted(groups: DataFrame, code: Code, n_words: int) -> DataFrame:
         names, types = ["id", "words", "times", "codes", "sums"], [pa.int64(), *[pa.binary()] * 4]
         learnt = 0
         for batch in batches:
-            for at, words, times, parts in zip(*(batch.column(n).to_pylist() for n in ("id", "words", "times", "parts"))):
+            for at, words, times, parts in _rows(batch, "id", "words", "times", "parts"):
                 group = Group(words, times, code)
                 group.contexts()
                 found = compact(*group.n)
@@ -476,7 +482,7 @@ def word_scores(words: DataFrame, code: Code, mixer) -> DataFrame:
             return np.bincount(group.own.word, cost[group.own.use], len(group.words))
 
         for batch in batches:
-            for w, t, codes in zip(*(batch.column(n).to_pylist() for n in ("words", "times", "codes"))):
+            for w, t, codes in _rows(batch, "words", "times", "codes"):
                 group, codes = Group(w, t, code), _unpack(codes, np.uint16).reshape(len(CONTEXTS), -1)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys_of(group.words)), pa.array(group.times), pa.array(total(group, *predictions(codes, 2))), pa.array(total(group, *predictions(codes, group.bit)))],
