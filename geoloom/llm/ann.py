@@ -4,8 +4,8 @@ The index is fitted on a bounded sample (FIT_ROWS rows by a hash of the id): cen
 number of lists to probe so that the sample's own neighbours are found with RECALL. Every row is indexed: lists are
 packed in chunks of about CHUNK vectors, hot lists in many, and queries in chunks a list, so no task holds a whole
 list. In a chunk, rotated vectors are scanned by blocks of dimensions; from its partial distance a candidate is
-given up when a hypothesis test says it can't beat the query's threshold, the distance of its `top`-th id in the
-sample. What survives is scored exactly on the original vectors in double precision, and so are the query's nearest ids
+given up when a hypothesis test says it can't beat the query's threshold: the distance of its `top`-th id in the
+sample, or of its `top`-th id found in the chunk so far. What survives is scored exactly on the original vectors in double precision, and so are the query's nearest ids
 in the sample, which are candidates too: each query gets `top` rows. If the sample has fewer ids, all lists are probed.
 
 Vectors that are null, zero, of another length than most, or hold a null or non-finite component take no part, nor
@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut
 
 FIT_ROWS, FIT_QUERIES, ROUNDS = 20_000, 256, 8
-MAX_LISTS = 1024
 RECALL = 0.97
 CHUNK, QUERIES = 4096, 256
+#: Rows of a chunk after whose scan a query's threshold is tightened by what has been found.
+STRETCH = 1024
 BLOCK = 16
 #: Width of the hypothesis test: larger gives up later.
 EPSILON = 2.1
@@ -48,7 +49,7 @@ class Index:
         self.ids, self.vectors = ids[order], vectors[order]
         self.sample = _unit(self.vectors).astype(np.float32)
         self.distinct, self.starts = np.unique(self.ids, return_index=True)
-        lists = int(min(MAX_LISTS, max(1, math.isqrt(rows)), max(1, len(ids) // 8)))
+        lists = int(min(max(1, math.isqrt(rows)), max(1, len(ids) // 8)))
         centroids = self.sample[rng.choice(len(ids), lists, replace=False)]
         for _ in range(ROUNDS):
             own = self._nearest(self.sample, centroids)
@@ -128,12 +129,21 @@ def search_chunk(queries, bounds, query_ids, vectors, ids, rotation, top: int):
     asked = np.sqrt((queries * queries).sum(axis=1))
     turned = (queries / asked[:, None]) @ rotation
     for q in range(len(queries)):
-        alive = scan(queries[q], turned[q], columns, bounds[q])
-        alive = alive[ids[alive] != query_ids[q]]
-        score = (vectors[alive] * queries[q]).sum(axis=1) / (norms[alive] * asked[q])
-        order = np.lexsort((ids[alive], -score))
-        for i in order[np.sort(np.unique(ids[alive][order], return_index=True)[1])[:top]]:
-            yield int(query_ids[q]), int(ids[alive][i]), float(score[i])
+        bound, best = bounds[q], {}
+        for at in range(0, len(ids), STRETCH):
+            alive = at + scan(queries[q], turned[q], columns[:, at : at + STRETCH], bound)
+            alive = alive[ids[alive] != query_ids[q]]
+            if not len(alive):
+                continue
+            score = (vectors[alive] * queries[q]).sum(axis=1) / (norms[alive] * asked[q])
+            for i, x in zip(ids[alive].tolist(), score.tolist()):
+                best[i] = max(x, best.get(i, -2.0))
+            ranked = sorted(best.items(), key=lambda r: (-r[1], r[0]))[:top]
+            best = dict(ranked)
+            if len(ranked) == top:  # ids that are left out can't come back: their rows so far are worse than all of these
+                bound = min(bound, 2 - 2 * ranked[-1][1] + 1e-9)
+        for i, x in sorted(best.items(), key=lambda r: (-r[1], r[0])):
+            yield int(query_ids[q]), int(i), float(x)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -176,7 +186,7 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.int32())], ["id", "v", "list"])
 
     indexed = cut(rows.mapInArrow(assign, "id long, v array<double>, list int"))
-    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("n_chunks"))  # MAX_LISTS rows at most
+    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / CHUNK).alias("n_chunks"))  # a row for each list, FIT_ROWS / 8 at most
     chunks = (
         indexed.join(F.broadcast(sizes), "list")
         .groupBy("list", F.pmod(F.xxhash64("id"), F.col("n_chunks")).alias("chunk"))
@@ -199,10 +209,11 @@ def nearest(
     wanted = rows.filter(queries(F.col("id")))
     kinds = "id long, v array<double>, lists array<int>, bound double, near array<long>, scores array<double>"
     asked = cut(wanted.mapInArrow(probe, kinds))
-    n_queries = max(1, -(-wanted.count() // QUERIES))
+    by_list = asked.select("id", F.explode("lists").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / QUERIES).alias("n_parts"))
     packed = (
         asked.select("id", "v", "bound", F.explode("lists").alias("list"))
-        .groupBy("list", F.pmod(F.xxhash64("id"), F.lit(n_queries)).alias("part"))
+        .join(F.broadcast(by_list), "list")  # a row for each list
+        .groupBy("list", F.pmod(F.xxhash64("id"), F.col("n_parts")).alias("part"))
         .agg(F.collect_list(F.struct("id", "v", "bound")).alias("asked"))
     )
     pairs = chunks.join(packed, "list").select("rows", "asked")
