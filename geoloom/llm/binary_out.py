@@ -22,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import shared_dir
+from .common import drawn, shared_dir
 
 END_ID = 0
-#: The dictionary is trained on the id arrays of so many texts of at most so many characters.
+#: The dictionary is trained on the id arrays of about so many texts (drawn by a hash of the id) of at most so many characters.
 FIT_TEXTS, FIT_CHARS, DICTIONARY_BYTES = 512, 64_000, 65_536
 LEVEL, SEGMENT_BYTES = 1, 4 << 20
 SEGMENT = (
@@ -41,11 +41,10 @@ def id_width(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
 
 
-def train_dictionary(docs: DataFrame, path: str, width: int, text_col: str = "text") -> bytes:
+def train_dictionary(docs: DataFrame, path: str, width: int, id_col: str = "doc_id", text_col: str = "text") -> bytes:
     """A zstandard dictionary of bounded size; raw samples where there are too few to train on."""
     encode = bpe.serializer(path, width)
-    rows = docs.select(F.col(text_col)).filter(F.length(text_col).between(1, FIT_CHARS)).take(FIT_TEXTS)
-    samples = [encode(r[0]) for r in rows]
+    samples = [encode(text) for text in drawn(docs, id_col, text_col, FIT_TEXTS, FIT_CHARS)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -60,7 +59,7 @@ def write_ids(docs: DataFrame, path: str, to: str, id_col: str = "doc_id", text_
     """Encodes docs by the tokenizer file at path and writes the data set `to`."""
     spark = docs.sparkSession
     width = id_width(path)
-    data = train_dictionary(docs, path, width, text_col)
+    data = train_dictionary(docs, path, width, id_col, text_col)
     mark = xxhash.xxh3_128_hexdigest(data)
     spark.createDataFrame([(mark, data, width)], "dictionary_hash string, data binary, width int").coalesce(
         1

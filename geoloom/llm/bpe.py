@@ -73,10 +73,21 @@ class _Chunks(Memo):
 
     def __missing__(self, key):
         if key[-1:] in MARKS and (word := key[:-1]).isalpha() and max(word) < STABLE_LETTERS:
-            return self.encoder.join((self[word], self.encoder.piece[key[-1]]))
+            return self.encoder.join((self.encoder.front[word], self.encoder.piece[key[-1]]))
         return super().__missing__(key)
 
 
+class Front(dict):
+    """Values of frequent words, asked before a worker's cache."""
+
+    def __init__(self, values: dict, cache: Memo):
+        super().__init__(values)
+        self.cache = cache
+
+    def __missing__(self, key):
+        return self.cache[key]
+
+
 class CachedBpe:
     """Encodes texts to what `reduce` makes of their ids; `known(piece)` may answer before the library does.
 
@@ -93,6 +104,8 @@ class CachedBpe:
         self.split, self.stable = patterns()
         self.piece = Memo(self._piece, pieces)
         self.chunk = _Chunks(self._chunk, chunks, self)
+        #: Where chunks are looked up first; what it lacks goes to the cache.
+        self.front = self.chunk
 
     def _piece(self, piece: str):
         if self.known and (found := self.known(piece)) is not None:
@@ -124,7 +137,7 @@ class CachedBpe:
             if head and (head[-1] in WHITE or not self._plain(head)):
                 raise Unsafe
             first = [self.join(map(self.piece.__getitem__, self.split.findall(head)))]
-            first += map(self.chunk.__getitem__, rest)
+            first += map(self.front.__getitem__, rest)
             return self.join(first)
         except Unsafe:
             return self._whole(text)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import materialise as cut
 from ..session import shared_path as shared_dir
 
-__all__ = ["Memo", "SPACE_PATTERN", "WORD_PATTERN", "cut", "fresh", "let", "shared_dir", "table", "words"]
+__all__ = ["Memo", "SPACE_PATTERN", "WORD_PATTERN", "cut", "drawn", "fresh", "let", "shared_dir", "table", "words"]
 
 #: Fixed value: the word class of every operator here, a run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -42,6 +42,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def drawn(docs: DataFrame, id_col: str, text_col: str, n: int, chars: int) -> list[str]:
+    """About n texts (2 n at most) of 1 to `chars` characters, drawn from all rows by a hash of their ids."""
+    total = max(docs.count(), 1)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.lit(17)), F.lit(1 << 30))
+    some = docs.filter(place < int(min(1.0, n / total) * (1 << 30))).filter(F.length(text_col).between(1, chars))
+    return [r[0] for r in some.select(F.col(text_col)).limit(2 * n).collect()]
+
+
 class Memo(dict):
     """A dictionary that makes what it lacks, and starts anew when it holds `most` entries."""
 

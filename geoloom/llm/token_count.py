@@ -1,8 +1,10 @@
 """Token counts without moving a pre-token: a broadcast table of frequent lengths, then the worker's own cache.
 
 Tier one is a compact hash table (sorted 64-bit hashes, offsets, key bytes, lengths) of the pre-tokens that are
-frequent in a few texts; keys are compared, so a collision can't give a wrong length. Tier two is the cache of
-each Python worker, filled by the tokenizers library. Which tier answers never changes a count.
+frequent in a sample of texts drawn by a hash of their ids. A worker asks it first for each pre-token: those that are a
+blank and a word are unfolded once to a dictionary, others are found in its arrays; keys are compared, so a collision
+can't give a wrong length. Tier two, for what the table lacks, is the cache of each Python worker, filled by the
+tokenizers library. Which tier answers never changes a count.
 
 Null and empty texts: 0 bytes, 0 tokens, within the limit. Repeated rows each get their row; other columns are
 ignored, whatever their names.
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
+from .common import drawn
 
 LIMIT = 1024
 #: The table is fitted on so many texts of at most so many characters; at most so many entries are broadcast.
@@ -34,6 +37,12 @@ class LengthTable:
         self.keys = b"".join(r[1] for r in rows)
         self.counts = np.array([r[2] for r in rows], np.int32)
 
+    def words(self) -> dict[str, int]:
+        """The lengths of entries that are a blank and a word, by word."""
+        starts = np.r_[0, self.ends[:-1]].tolist()
+        entries = ((self.keys[a:b].decode(), n) for a, b, n in zip(starts, self.ends.tolist(), self.counts.tolist()))
+        return {k[1:]: n for k, n in entries if k[:1] == " " and k[1:].isalpha() and max(k) < bpe.STABLE_LETTERS}
+
     def __call__(self, piece: str) -> int | None:
         key = piece.encode()
         i = int(self.hashes.searchsorted(np.uint64(xxhash.xxh3_64_intdigest(key))))
@@ -42,11 +51,10 @@ class LengthTable:
         return None
 
 
-def fit_table(docs: DataFrame, path: str, text_col: str = "text") -> LengthTable:
-    """The lengths of the pre-tokens that occur most in a bounded number of bounded texts."""
-    texts = docs.select(F.col(text_col)).filter(F.length(text_col) <= FIT_CHARS).take(FIT_TEXTS)
+def fit_table(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> LengthTable:
+    """The lengths of the pre-tokens that occur most in a bounded number of bounded texts, drawn by a hash of the id."""
     encoder, seen = bpe.counter(path), Counter()
-    for (text,) in texts:
+    for text in drawn(docs, id_col, text_col, FIT_TEXTS, FIT_CHARS):
         seen.update(encoder.split.findall(text))
     return LengthTable({p: encoder.piece[p] for p, _ in seen.most_common(FIT_ENTRIES) if encoder._plain(p)})
 
@@ -56,7 +64,7 @@ def token_counts(
 ) -> DataFrame:
     """id, n_bytes, n_tokens and over_limit for each row of docs, by the tokenizer file at path."""
     spark = docs.sparkSession
-    table = spark.sparkContext.broadcast(fit_table(docs, path, text_col))
+    table = spark.sparkContext.broadcast(fit_table(docs, path, id_col, text_col))
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def count(batches):
@@ -64,7 +72,9 @@ def token_counts(
         import pyarrow.compute as pc
 
         encode = bpe.counter(path)
-        encode.known = table.value
+        if encode.known is not table.value:
+            encode.known = table.value
+            encode.front = bpe.Front(encode.known.words(), encode.chunk)
         for batch in batches:
             texts = batch.column("text")
             yield pa.RecordBatch.from_arrays(

@@ -1,5 +1,8 @@
+import html
 import math
 import random
+import re
+import time
 import zlib
 from collections import Counter
 
@@ -194,7 +197,9 @@ def test_extraction_by_consensus(spark):
     odd = page("<p>Tiny.</p>", "<div class='teaser'><p>" + "Another block that is longer than the story. " * 5 + "</p></div>")
     rows = [(i, f"http://a.example/{i}", page(long)) for i in range(8)]
     rows += [(20, "http://a.example/x", page(body)), (21, "http://a.example/y", odd), (22, None, "just text &lt;b&gt;"), (23, "http://b.example", None), (24, "u", ""), (24, "u", "")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumnRenamed("x", "path")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for clash in ("path", "host", "text", "repeated"):
+        pages = pages.withColumn(clash, F.lit("x"))
     got = {r["page_id"]: r for r in extract.extract(pages).collect()}
     assert got[20]["text"] == "Head\nOne & two three é four\nFive\nSix"
     assert got[21]["text"] == "Tiny."
@@ -211,6 +216,58 @@ def test_broken_and_long_pages(html):
     assert isinstance(extract.main_text(html, "div"), str)
 
 
+def test_extraction_loses_no_article_text():
+    text = lambda body: extract.main_text(f"<html><body><nav>menu</nav><article>{body}</article></body></html>", None)
+    assert text("<p>The formula <math><mi>x</mi>=2</math> holds.</p>") == "The formula x=2 holds."
+    assert text("<p>One <script>var x='</p>'</script>two <object>three</object></p>") == "One two three"
+    prose = "This long paragraph of an article has a class that only looks like one of a widget or of a box."
+    assert text(f"<p class='social-history'>{prose}</p>") == prose
+    assert text(f"<p>Lead.</p><div class='widget-theory'><p>{prose}</p></div>") == f"Lead.\n{prose}"
+    assert text("<p>Lead.</p><div class='share-buttons'><a href=x>Mail</a> <a href=y>Print</a></div><div class='ad-slot'>Buy this, it is a very good thing to have at home and it is cheap as well.</div>") == "Lead."
+
+
+def test_repeated_suspects_are_boilerplate(spark):
+    page = "<body><article><p>{}</p><div class='widget-box'><p>{}</p></div></article></body>"
+    same, other = "All our readers may write to us at any time of the day or of the night.", "Only this page has such a block, and it is a part of what the page has to say."
+    rows = [(i, f"http://h.example/{i}", page.format(f"Article number {i} is about this and that.", same)) for i in range(3)]
+    rows += [(9, "http://h.example/9", page.format("Another article.", other))]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[9] == f"Another article.\n{other}" and got[0] == "Article number 0 is about this and that."
+
+
+def test_sectioned_articles_are_whole(spark):
+    sections = "".join(f"<section><h2>Part {k}</h2><p>{'Some words of this part. ' * 20}</p></section>" for k in range(4))
+    body = f"<body><nav>x</nav><article><h1>Title</h1><p>Lead.</p>{sections}<p>End.</p></article><footer>f</footer></body>"
+    plain = f"<body><div class=all><div class=post><p>{'First words. ' * 30}</p></div><p>Between.</p><div class=post><p>{'More words. ' * 30}</p></div></div></body>"
+    rows = [(i, "http://s.example/", body) for i in range(3)] + [(5, "http://t.example/", plain)]
+    got = {r["page_id"]: r["text"].split("\n") for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0][:2] == ["Title", "Lead."] and got[0][-1] == "End." and len(got[0]) == 11
+    assert len(got[5]) == 3 and got[5][1] == "Between."
+
+
+@pytest.mark.parametrize("html", ["<div>x" * 20_000, "<div>" * 20_000 + "</section>" * 20_000, "<h1><div>" + "<b>" * 20_000 + "</h1>" * 20_000, "<ul><li>" * 20_000, "<td>" * 20_000, "<p>" * 20_000])
+def test_parsing_is_linear(html):
+    began = time.perf_counter()
+    extract.votes(html)
+    extract.main_text(html, None)
+    assert time.perf_counter() - began < 4
+
+
+def test_extraction_of_planted_articles():
+    """Token F1 against the articles of the test table's pages, cut out by their own tags."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/pages.parquet")
+    met = had = got = 0
+    for page in table.column("html").to_pylist():
+        article = re.search(r"<article>(.*)</article>", page or "", re.S)
+        if article:
+            want = Counter(re.sub(r"<[^>]*>", " ", html.unescape(re.sub(r"<(?=/?[a-z0-9]+>)", "\x00", article[1])).replace("<", "\x01").replace("\x00", "<")).replace("\x01", "<").split())
+            found = Counter(extract.main_text(page, None).split())
+            met, had, got = met + (want & found).total(), had + want.total(), got + found.total()
+    assert had > 10_000 and 2 * met / (had + got) > 0.98
+
+
 def brute_nearest(rows, top=5):
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and v is not None and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
     ids, x = np.array([i for i, _ in good]), np.array([v for _, v in good])
@@ -241,6 +298,19 @@ def test_neighbours_recall_and_scores(spark):
     assert all(s == pytest.approx(exact[q][i], abs=1e-12) for q in exact for i, s in got[q])
 
 
+def test_neighbours_recall_with_a_sampled_index(spark, monkeypatch):
+    monkeypatch.setattr(ann, "FIT_ROWS", 4000)
+    monkeypatch.setattr(ann, "CHUNK", 512)  # lists are split in chunks
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16)) * 1.5
+    rows = [(i, (centres[i % 40 if i % 3 else 0] + rng.normal(size=16)).tolist()) for i in range(20_500)]  # a third in one list's reach
+    want = brute_nearest(rows)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit(0) for c in ("id", "v", "list", "rank", "score")})
+    got = Counter((r["query_id"], r["vec_id"]) for r in ann.nearest(frame, lambda i: i % 50 == 0).collect())
+    hits = sum(got[q, i] for q in want for i, _ in want[q])
+    assert sum(got.values()) == 5 * len(want) and hits >= 0.9 * 5 * len(want)
+
+
 def test_neighbours_of_few_and_none(spark):
     schema = "vec_id long, embedding array<float>"
     assert ann.nearest(spark.createDataFrame([], schema), lambda i: i % 50 == 0).count() == 0
