@@ -22,16 +22,18 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return local.withColumn(name, (start + F.col("_n")).cast("long")).drop("_part", "_n")
 
 
+def same_rows(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of distinct rows hold the same rows: every row of either is in the other."""
+    return a.count() == b.count() and a.join(b, a.columns, "left_anti").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its smallest node) of undirected edges (a, b): alternating large and small stars."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     alone = pairs.filter("u = v").select("u", "v")
-    edges, state = materialise(pairs.filter("u <> v").distinct()), None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % (1 << 31))).first()
-        if now == state:
-            break
-        state = now
+    edges, before = materialise(pairs.filter("u <> v").distinct()), None
+    while before is None or not same_rows(before, edges):
+        before = edges
         both = edges.union(edges.select("v", "u")).toDF("u", "v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

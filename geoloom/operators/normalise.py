@@ -19,13 +19,20 @@ Ring = list[tuple[float, float]]
 
 
 def crossing_latitude(x0: float, y0: float, x1: float, y1: float) -> float:
-    """Latitude at which the great circle through two points meets the antimeridian."""
-    half, mid = math.radians((x0 - x1) / 2), math.radians((x0 + x1) / 2)
-    a, b = math.radians(y0), math.radians(y1)
-    x = math.sin(a - b) * math.sin(mid) * math.cos(half) - math.sin(a + b) * math.cos(mid) * math.sin(half)
-    z = math.cos(a) * math.cos(b) * math.sin(2 * half)
-    found = math.degrees(math.copysign(1.0, z) * math.atan2(x, abs(z)))
-    return y0 if math.isnan(found) else found
+    """Latitude at which the great circle through two points meets the antimeridian.
+
+    The circle's plane has the normal n = a x b. A point of the antimeridian is (-cos lat, 0, sin lat); it lies in the
+    plane where its product with n is 0, that is tan lat = n_x / n_z. A plane through the poles meets it at the pole that
+    n_x names; one that holds the antimeridian itself (or equal or opposite points) meets it everywhere: the first latitude.
+    """
+    (ax, ay, az), (bx, by, bz) = (
+        (math.cos(math.radians(y)) * math.cos(math.radians(x)), math.cos(math.radians(y)) * math.sin(math.radians(x)), math.sin(math.radians(y)))
+        for x, y in ((x0, y0), (x1, y1))
+    )
+    n_x, n_z = ay * bz - az * by, ax * by - ay * bx
+    if math.hypot(n_x, n_z) < 1e-15:
+        return y0
+    return math.degrees(math.atan2(n_x, n_z)) if n_z > 0 else math.degrees(math.atan2(-n_x, -n_z))
 
 
 def _turn(x: float) -> float:

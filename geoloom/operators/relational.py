@@ -6,13 +6,13 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
 from .. import model
 from ..functions import coords
 from ..model import FeatureFrame, Meta
+from .graph import numbered
 
 #: Documents with more keys than this are written by key instead of split into frames.
 MAX_PARTS = 1000
@@ -169,8 +169,7 @@ def dissolve(ff: FeatureFrame, key: str, mode: str = "collect") -> FeatureFrame:
         member = F.struct(kind.alias("gtype"), F.col("polys"))
         geom = F.struct(kind.alias("gtype"), F.array(member).alias("members")).cast(model.GEOMETRY)
         joined = grouped.select("key", geom.alias("geom"), "props")
-    numbered = joined.withColumn("fid", (F.row_number().over(W.orderBy("key")) - 1).cast("long"))
-    return ff.with_df(numbered.select("fid", "geom", "props"))
+    return ff.with_df(numbered(joined, "fid", "key").select("fid", "geom", "props"))
 
 
 def concatenate(frames: list[FeatureFrame], name: str | None = None) -> FeatureFrame | None:
@@ -190,11 +189,13 @@ def concatenate(frames: list[FeatureFrame], name: str | None = None) -> FeatureF
             if (had := wide.setdefault(x.name, kind)) != kind:
                 wide[x.name] = "double" if {had, kind} <= {"bigint", "int", "double", "float"} else "string"
     parts, start = [], 0
-    for f in frames:
+    for i, f in enumerate(frames):
         have = set(f.df.schema["props"].dataType.names)
         props = F.struct(*((F.col(f"props.`{k}`") if k in have else F.lit(None)).cast(t).alias(k) for k, t in sorted(wide.items())))
         parts.append(f.df.select((F.col("fid") + start).alias("fid"), "geom", props.alias("props")))
-        start += (f.df.agg(F.max("fid")).first()[0] or -1) + 1
+        if i < len(frames) - 1:
+            last = f.df.agg(F.max("fid")).first()[0]
+            start += 0 if last is None else last + 1
     union = reduce(DataFrame.unionByName, parts)
     return FeatureFrame(union, Meta(name or "", precision=frames[0].meta.precision))
 
@@ -228,7 +229,7 @@ def requantise(ff: FeatureFrame, precision: int) -> FeatureFrame:
 def binary_pool(df: DataFrame, data: str) -> DataFrame:
     """buf_id, hash, data: each distinct value once, numbered by hash (A10)."""
     once = df.select(F.sha2(data, 256).alias("hash"), F.col(data).alias("data")).dropDuplicates(["hash"])
-    return once.withColumn("buf_id", (F.row_number().over(W.orderBy("hash")) - 1).cast("long"))
+    return numbered(once, "buf_id", "hash")
 
 
 def with_buffers(df: DataFrame, pool: DataFrame, buf_id: str = "buf_id") -> DataFrame:

@@ -40,15 +40,19 @@ def _cell(v: Column, level: Column | int, low: float) -> Column:
 def _by_grid(points: DataFrame, polys: DataFrame, how: str, x: str, y: str) -> DataFrame:
     side = F.greatest(F.col("bbox.xmax") - F.col("bbox.xmin"), F.col("bbox.ymax") - F.col("bbox.ymin"), F.lit(360.0 / 2**LEVELS))
     level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(F.log2(F.lit(360.0) / side)))).cast("int")
-    polys = polys.withColumn("level", level)
-    used = sorted(r[0] for r in polys.select("level").distinct().collect())  # at most LEVELS + 1 values
-    span = lambda c, low: F.sequence(_cell(F.col(f"bbox.{c}min"), F.col("level"), low), _cell(F.col(f"bbox.{c}max"), F.col("level"), low))
-    right = polys.select("*", F.explode(span("x", -180.0)).alias("cx")).select("*", F.explode(span("y", -90.0)).alias("cy"))
-    cells = F.array(*(F.struct(F.lit(n).alias("level"), _cell(F.col(x), n, -180.0).alias("cx"), _cell(F.col(y), n, -90.0).alias("cy")) for n in used))
-    left = points.select("*", F.explode(cells).alias("cell")) if used else points.select("*", F.lit(None).cast("struct<level:int,cx:bigint,cy:bigint>").alias("cell"))
-    on = (F.col("cell.level") == F.col("level")) & (F.col("cell.cx") == F.col("cx")) & (F.col("cell.cy") == F.col("cy"))
+    polys = polys.withColumn("_grid_level", level)
+    used = sorted(r[0] for r in polys.select("_grid_level").distinct().collect())  # at most LEVELS + 1 values
+    ends = lambda c, low: [_cell(F.col(f"bbox.{c}{e}"), F.col("_grid_level"), low) for e in ("min", "max")]
+    right = polys.select("*", F.explode(F.sequence(*ends("x", -180.0))).alias("_grid_x"))
+    right = right.select("*", F.explode(F.sequence(*ends("y", -90.0))).alias("_grid_y"))
+    cells = [
+        F.struct(F.lit(n).alias("l"), _cell(F.col(x), n, -180.0).alias("x"), _cell(F.col(y), n, -90.0).alias("y")) for n in used
+    ]
+    none = F.lit(None).cast("struct<l:int,x:bigint,y:bigint>")
+    left = points.select("*", (F.explode(F.array(*cells)) if cells else none).alias("_grid"))
+    on = (F.col("_grid.l") == F.col("_grid_level")) & (F.col("_grid.x") == F.col("_grid_x")) & (F.col("_grid.y") == F.col("_grid_y"))
     test = predicates.in_box(F.col("bbox"), F.col(x), F.col(y)) & predicates.contains(F.col("geom"), F.col(x), F.col(y))
-    inner = left.join(right, on).filter(test).drop("cell", "level", "cx", "cy")
+    inner = left.join(right, on).filter(test).drop("_grid", "_grid_level", "_grid_x", "_grid_y")
     if how == "inner":
         return inner
     key = F.struct(*points.columns)

@@ -9,15 +9,18 @@ from __future__ import annotations
 import heapq
 import json
 import math
+from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import coords, morton, predicates
+from ..functions import coords, morton
 from ..functions.coords import let
 from ..session import materialise
 from .graph import components, numbered
+from .spatial_join import contain_join, with_bbox
 
 SIDE = 2147483648
 #: Cell of the noding grid in units, squared snap distance, unit that intersections are rounded to.
@@ -143,12 +146,18 @@ def merge(df: DataFrame, *group: str) -> DataFrame:
     lines = numbered(boundary_rings(df, *group), "rid", *group, "line")
     tops = lines.filter("outer").select(*group, F.col("rid").alias("oid"), F.col("line").alias("shell"))
     holes = lines.filter("NOT outer").select(*group, "rid", "line")
-    inside = predicates.ray_cast(F.col("shell"), F.get("line", F.lit(0))["x"], F.get("line", F.lit(0))["y"])
-    touched = F.size(F.array_intersect("shell", "line")) > 0
-    on = [F.col(f"t.{g}").eqNullSafe(F.col(f"h.{g}")) for g in group] + [inside | touched]
-    met = tops.alias("t").join(holes.alias("h"), on)
-    size = F.abs(coords.ring_sum(F.col("shell")))
-    best = met.groupBy("rid").agg(F.min_by("oid", F.struct((~inside).alias("o"), size.alias("s"), F.col("oid"))).alias("oid"))
+    # a hole lies in the shells that hold its first vertex (met on boxes and cells) or that it touches
+    first = F.get("line", F.lit(0))
+    shells = tops.select(F.col("oid").alias("fid"), model.polygon(F.array("shell")).alias("geom"))
+    within = contain_join(holes.select("rid", first["x"].alias("lng"), first["y"].alias("lat")), shells).select("rid", F.col("poly_fid").alias("oid"))
+    corner = lambda df, k, ring: df.select(k, F.explode(F.array_distinct(ring)).alias("v"))
+    touching = corner(holes, "rid", "line").join(corner(tops, "oid", "shell"), "v").select("rid", "oid").distinct()
+    near = within.withColumn("inside", F.lit(True)).union(touching.withColumn("inside", F.lit(False)))
+    near = near.groupBy("rid", "oid").agg(F.bool_or("inside").alias("inside"))
+    sized = tops.select(*(F.col(g).alias(f"t_{g}") for g in group), "oid", F.abs(coords.ring_sum(F.col("shell"))).alias("size"))
+    same = reduce(lambda x, g: x & F.col(f"t_{g}").eqNullSafe(F.col(g)), group, F.lit(True))
+    met = near.join(sized, "oid").join(holes.drop("line"), "rid").filter(same)
+    best = met.groupBy("rid").agg(F.min_by("oid", F.struct((~F.col("inside")).alias("o"), "size", "oid")).alias("oid"))
     nested = best.join(holes, "rid").groupBy("oid").agg(F.array_sort(F.collect_list("line")).alias("holes"))
     polys = tops.join(nested, "oid", "left").select(
         *group, "oid", F.concat(F.array("shell"), F.coalesce("holes", F.array().cast(f"array<array<{model.VERTEX}>>"))).alias("p")
@@ -277,48 +286,52 @@ def simplified(ranked_df: DataFrame, threshold: int) -> DataFrame:
     return ranked_df.select("arc", F.transform(kept, lambda v: v["ns"]).alias("ns"))
 
 
-def _trunc(a: int, b: int) -> int:
-    q = abs(a) // abs(b)
-    return q if (a < 0) == (b < 0) else -q
+Node = tuple[int, int]
 
 
-def meetings(p: tuple[int, int], q: tuple[int, int], r: tuple[int, int], s: tuple[int, int]) -> list[tuple[int, int]]:
+def _wedge(a: Node, b: Node, c: Node) -> int:
+    """Twice the signed area of the triangle abc: on which side of ab lies c."""
+    return (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+
+
+def _along(a: Node, b: Node, share: Fraction) -> Node:
+    """The node that share of the way from a to b leads to, each step cut toward zero."""
+    return a[0] + math.trunc(share * (b[0] - a[0])), a[1] + math.trunc(share * (b[1] - a[1]))
+
+
+def _foot(a: Node, b: Node, c: Node) -> Fraction | None:
+    """Where c's perpendicular meets ab strictly between its ends, as a share of ab; None beyond the snap distance."""
+    full = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+    share = Fraction((c[0] - a[0]) * (b[0] - a[0]) + (c[1] - a[1]) * (b[1] - a[1]), full) if full else Fraction(0)
+    # squared distances are compared in whole units
+    return share if 0 < share < 1 and _wedge(a, b, c) ** 2 // full <= SNAP2 else None
+
+
+def meetings(p: Node, q: Node, r: Node, s: Node) -> list[Node]:
     """Where the segments pq and rs meet, in exact integers.
 
-    Proper crossings (ends included), ends strictly inside a collinear overlap, and ends within the snap distance of
-    the other segment. A crossing goes to an end within the snap distance, else to a multiple of ten units; division
-    cuts toward zero.
+    Crossings (ends included), ends strictly inside a collinear overlap, and feet of ends within the snap distance of
+    the other segment, also beside a crossing. A meeting within the snap distance of an end is that end, else it goes to
+    the nearest multiple of ten units, halves up.
     """
-
-    def snap(x: int, y: int) -> tuple[int, int]:
-        for e in (p, q, r, s):
-            if (x - e[0]) ** 2 + (y - e[1]) ** 2 <= SNAP2:
-                return e
-        return _trunc(x, STEP) * STEP, _trunc(y, STEP) * STEP
-
-    d1, d2 = (q[0] - p[0], q[1] - p[1]), (s[0] - r[0], s[1] - r[1])
-    cross = d1[0] * d2[1] - d1[1] * d2[0]
-    off = (r[0] - p[0], r[1] - p[1])
-    found: list[tuple[int, int]] = []
-    if cross:
-        t, u = off[0] * d2[1] - off[1] * d2[0], off[0] * d1[1] - off[1] * d1[0]
-        if cross < 0:
-            cross, t, u = -cross, -t, -u
-        if 0 <= t <= cross and 0 <= u <= cross:
-            return [snap(p[0] + _trunc(d1[0] * t, cross), p[1] + _trunc(d1[1] * t, cross))]
-    elif off[0] * d1[1] == off[1] * d1[0]:
-        for e, (a, d) in ((r, (p, d1)), (s, (p, d1)), (p, (r, d2)), (q, (r, d2))):
-            along = (e[0] - a[0]) * d[0] + (e[1] - a[1]) * d[1]
-            if 0 < along < d[0] ** 2 + d[1] ** 2:
-                found.append(e)
-        return list(dict.fromkeys(found))
-    for e, (a, d) in ((r, (p, d1)), (s, (p, d1)), (p, (r, d2)), (q, (r, d2))):
-        full = d[0] ** 2 + d[1] ** 2
-        along = (e[0] - a[0]) * d[0] + (e[1] - a[1]) * d[1]
-        away = (e[0] - a[0]) * d[1] - (e[1] - a[1]) * d[0]
-        if 0 < along < full and away * away <= SNAP2 * full:
-            found.append(e)
-    return list(dict.fromkeys(found))
+    ends = (p, q, r, s)
+
+    def settled(x: int, y: int) -> Node:
+        close = (e for e in ends if (x - e[0]) ** 2 + (y - e[1]) ** 2 <= SNAP2)
+        return next(close, ((x + STEP // 2) // STEP * STEP, (y + STEP // 2) // STEP * STEP))
+
+    found: list[Node] = []
+    side_p, side_q = _wedge(r, s, p), _wedge(r, s, q)
+    side_r, side_s = _wedge(p, q, r), _wedge(p, q, s)
+    if side_p != side_q:  # not parallel
+        if min(side_p, side_q) <= 0 <= max(side_p, side_q) and min(side_r, side_s) <= 0 <= max(side_r, side_s):
+            found.append(settled(*_along(p, q, Fraction(side_p, side_p - side_q))))
+    elif not side_r and not side_s and p != q:  # on one line, in the order of their ends
+        found += [e for e in ends if any(min(o) < e < max(o) for o in ((p, q), (r, s)))]
+    for e, (a, b) in ((r, (p, q)), (s, (p, q)), (p, (r, s)), (q, (r, s))):
+        if (share := _foot(a, b, e)) is not None:
+            found.append(settled(*_along(a, b, share)))
+    return sorted(set(found))
 
 
 def candidates(segs: DataFrame) -> DataFrame:
@@ -331,19 +344,23 @@ def candidates(segs: DataFrame) -> DataFrame:
     box = segs.withColumns(
         {"x0": F.least("ax", "bx") - pad, "x1": F.greatest("ax", "bx") + pad, "y0": F.least("ay", "by") - pad, "y1": F.greatest("ay", "by") + pad}
     )
-    spread = box.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1"))))).withColumn(
-        "cy", F.explode(F.sequence(cell(F.col("y0")), cell(F.col("y1"))))
-    )
+    # of each column of cells the rows that the segment passes there, not its whole box
+    columns = box.withColumn("cx", F.explode(F.sequence(cell(F.col("x0")), cell(F.col("x1")))))
+    run, edge = (F.col("bx") - F.col("ax")).cast("double"), F.col("cx") * CELL
+    at = lambda x: F.col("ay") + (F.greatest(F.least(x, F.greatest("ax", "bx")), F.least("ax", "bx")) - F.col("ax")) * (F.col("by") - F.col("ay")) / run
+    ends = (at(edge - pad - 1), at(edge + CELL + pad + 1))
+    steep = F.abs(run) <= 2 * pad
+    low = F.when(steep, F.col("y0")).otherwise(F.greatest(F.least(*ends) - pad - 1, F.col("y0")))
+    high = F.when(steep, F.col("y1")).otherwise(F.least(F.greatest(*ends) + pad + 1, F.col("y1")))
+    spread = columns.withColumn("cy", F.explode(F.sequence(cell(low).cast("long"), cell(high).cast("long"))))
     a, b = spread.alias("a"), spread.alias("b")
     near = (F.col("a.line") == F.col("b.line")) & (F.abs(F.col("a.seq") - F.col("b.seq")) <= 1)
     on = (
         (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.sid") < F.col("b.sid"))
         & (F.col("a.x0") <= F.col("b.x1")) & (F.col("b.x0") <= F.col("a.x1")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("b.y0") <= F.col("a.y1"))
     )
-    # the pair belongs to the first cell that both boxes share, so it arises once
-    home = (F.col("a.cx") == cell(F.greatest("a.x0", "b.x0"))) & (F.col("a.cy") == cell(F.greatest("a.y0", "b.y0")))
     ends = [F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("sid", "ax", "ay", "bx", "by")]
-    return a.join(b, on & home & ~near).select(*ends)
+    return a.join(b, on & ~near).select(*ends).distinct()
 
 
 def noded(df: DataFrame, kinds: tuple[int, ...] = LINEAR, scope: str | None = None) -> DataFrame:
@@ -460,7 +477,5 @@ def topojson_text(df: DataFrame, name: str = "data", **options) -> str:
 
 def by_locality(df: DataFrame) -> DataFrame:
     """Rows ranged and sorted by the Morton code of their box's corner, so files prune by statistics."""
-    from .spatial_join import with_bbox
-
     code = morton.pack(F.col("bbox.xmin"), F.col("bbox.ymin"))
     return with_bbox(df).withColumn("morton", code).repartitionByRange("morton").sortWithinPartitions("morton")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import model
-from ..functions import coords, geodesy, measures, morton, values
+from ..functions import coords, geodesy, measures, morton, predicates, values
 from ..model import FeatureFrame
 from ..operators import knn, normalise, profile, relational, spatial_join, topology
 from ..session import shared_path
@@ -458,7 +458,11 @@ def simplify_rank(spark, d):
     return ranks.select("arc", F.size("ns").alias("vertices"), F.array_max("ranks").alias("top")).join(left, "arc")
 
 
-@query()
+@query(
+    with_views("points") + """, p AS (SELECT fid, event_id, x, y FROM (SELECT event_id AS fid, event_id, event_id * 7919 % 360000 AS x, event_id * 104729 % 170000 AS y FROM events)),
+ ends AS (SELECT a.fid, b.x - a.x AS dx FROM p a JOIN p b ON 3 * a.x - 4 * a.y = 3 * b.x - 4 * b.y AND abs(b.x - a.x) BETWEEN 1 AND 399)
+ SELECT p.fid, (2 + count(DISTINCT CASE WHEN dx > 0 THEN dx ELSE dx + 400 END))::INT AS vertices FROM p LEFT JOIN ends USING (fid) GROUP BY p.fid"""
+)
 def purify_lines(spark, d):
     """Lines with a vertex at every crossing (T02, T03, J05, O05): a short line from each event, as all whole tracks cross all."""
     short = views.points(spark, d).select(
@@ -688,3 +692,94 @@ def stream_contain(spark, d):
     run = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", shared_path(spark, "state"))
     run.trigger(availableNow=True).queryName(f"contain_{uuid.uuid4().hex}").start().awaitTermination()
     return spark.read.schema("fid long, n_name string").parquet(out).groupBy("n_name").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS n FROM nation")
+def frame_length(spark, d):
+    """How many features a frame holds."""
+    return spark.createDataFrame([(profile.length(views.cell_frame(spark, d)),)], "n long")
+
+
+@query(with_views("cells") + " SELECT fid, x1 + fid * 5 <= 180 AS valid FROM cells")
+def extent_validity(spark, d):
+    """Boxes moved east, valid while they end before the antimeridian."""
+    box = F.struct(*(((F.col(f"b.{c}") + F.col("fid") * 5) if c[0] == "x" else F.col(f"b.{c}")).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")))
+    boxed = views.cells(spark, d).select("fid", measures.bbox(F.col("geom")).alias("b"))
+    return boxed.select("fid", measures.is_bbox(box).alias("valid"))
+
+
+@query(with_views("points") + " SELECT event_type, count(*) AS n FROM points WHERE NOT (lng BETWEEN -20 AND 60.5 AND lat BETWEEN -10 AND 45.25) GROUP BY event_type")
+def points_outside_box(spark, d):
+    """Points outside a box, by type."""
+    box = F.struct(*(F.lit(v).alias(k) for k, v in (("xmin", -20.0), ("ymin", -10.0), ("xmax", 60.5), ("ymax", 45.25))))
+    far = views.points(spark, d).filter(~predicates.in_box(box, F.col("lng"), F.col("lat")))
+    return far.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query(with_views("cells") + " SELECT fid, n_name, n_regionkey FROM cells")
+def properties_table(spark, d):
+    """One column a property (P10)."""
+    return relational.table(views.cell_frame(spark, d))
+
+
+@query("SELECT 0::BIGINT AS fid, 'a' AS k UNION ALL SELECT 1, 'b' UNION ALL SELECT row_number() OVER (ORDER BY n_nationkey) + 1, n_name FROM nation")
+def concat_instances(spark, d):
+    """Frames of one feature and then of many, fids following on."""
+    one = lambda k: FeatureFrame(spark.range(1).select(F.col("id").alias("fid"), model.point(F.lit(1.0), F.lit(2.0)).alias("geom"), F.struct(F.lit(k).alias("k")).alias("props")))
+    cells = views.cell_frame(spark, d)
+    many = cells.with_df(cells.df.withColumn("props", F.struct(F.col("props.n_name").alias("k"))))
+    return relational.table(relational.concat(one("a"), one("b"), many))
+
+
+@query(
+    with_views("suppliers") + """ SELECT fid, round(pow(sin(radians(lat - 20) / 2), 2) + cos(radians(lat)) * cos(radians(20.0::DOUBLE)) * pow(sin(radians(lng - 10) / 2), 2), 6) AS h,
+ round(12742.0::DOUBLE * asin(sqrt(least(1, pow(sin(radians(lat - 20) / 2), 2) + cos(radians(lat)) * cos(radians(20.0::DOUBLE)) * pow(sin(radians(lng - 10) / 2), 2)))), 3) AS km FROM suppliers"""
+)
+def haversine_parts(spark, d):
+    """Haversine measure and kilometres from each supplier to (10, 20)."""
+    h = geodesy.haversine(F.col("lng"), F.col("lat"), F.lit(10.0), F.lit(20.0))
+    return views.suppliers(spark, d).select("fid", F.round(h, 6).alias("h"), F.round(geodesy.kilometres(h), 3).alias("km"))
+
+
+@query(
+    """SELECT event_id AS fid, CASE event_id % 8 WHEN 0 THEN 'NULL' WHEN 1 THEN 'BOOL' WHEN 2 THEN 'INTEGER' WHEN 3 THEN 'FLOAT' WHEN 4 THEN 'STRING'
+ WHEN 5 THEN 'COLOR' WHEN 6 THEN CASE WHEN event_id % 400 <= 180 THEN 'BBOX' ELSE 'JSON' END ELSE 'JSON' END AS type FROM events"""
+)
+def value_types(spark, d):
+    """Types of property values of every kind."""
+    fid = F.col("fid")
+    texts = F.array(
+        F.lit("null"), F.lit("true"), fid.cast("string"), F.concat(fid.cast("string"), F.lit(".5")), F.concat(F.lit('"v'), fid.cast("string"), F.lit('"')),
+        F.lit('"#ff8800"'), F.concat(F.lit("[0,0,"), (fid % 400).cast("string"), F.lit(",1]")), F.concat(F.lit('{"a":'), fid.cast("string"), F.lit("}")),
+    )
+    kind = values.variant_type(F.parse_json(F.element_at(texts, (fid % 8 + 1).cast("int"))))
+    return views.points(spark, d).select("fid", kind.alias("type"))
+
+
+@query("SELECT n_nationkey::BIGINT AS fid, '{\"name\":\"' || n_name || '\",\"at\":[' || n_nationkey || ',' || n_regionkey || ']}' AS text FROM nation")
+def json_texts(spark, d):
+    """JSON text of structs."""
+    value = F.struct(F.col("n_name").alias("name"), F.array(F.col("fid"), F.col("n_regionkey").cast("long")).alias("at"))
+    return views.cells(spark, d).select("fid", values.json_text(value).alias("text"))
+
+
+@query(with_views("points") + " SELECT fid, floor(lng * 10 + 0.5) / 10 AS x, floor(lat * 10 + 0.5) / 10 AS y FROM points")
+def requantised(spark, d):
+    """Coordinates at a precision of one digit."""
+    v = F.col("geom.members")[0]["polys"][0][0][0]
+    return relational.requantise(views.point_frame(spark, d), 1).df.select("fid", v["x"].alias("x"), v["y"].alias("y"))
+
+
+@query(with_views("cells") + " SELECT fid, upper(n_name) || ' ' || fid AS label FROM cells WHERE n_regionkey <> 2 AND x0 < 100")
+def python_callbacks(spark, d):
+    """Filter and property map by Python functions of properties, type, box and number."""
+    kept = relational.filter_features(views.cell_frame(spark, d), lambda p, t, b, i: p["n_regionkey"] != 2 and t == "Polygon" and b["xmin"] < 100)
+    named = relational.map_properties(kept.with_df(kept.df.withColumn("props", F.struct("props.n_name", "fid"))), lambda p: (f"{p['n_name'].upper()} {p['fid']}",), "label string")
+    return relational.table(named)
+
+
+@query(with_views("cells") + ", k AS (SELECT DISTINCT CASE WHEN n_regionkey < 3 THEN (n_regionkey * 50)::VARCHAR END AS k FROM cells) SELECT row_number() OVER (ORDER BY k) - 1 AS place, 'cells@' || k AS name FROM k WHERE k IS NOT NULL")
+def class_order(spark, d):
+    """Classes by a Python function, in the order of their texts."""
+    parts = relational.classified(views.cell_frame(spark, d), lambda p, t, b, i: p["n_regionkey"] * 50 if p["n_regionkey"] < 3 else None)
+    return spark.createDataFrame([(i, f.meta.name) for i, f in enumerate(parts.values())], "place long, name string")

@@ -176,6 +176,8 @@ def test_topojson_round_trip(spark):
         ((0, 0), (1000, 0), (500, 5), (500, 900), [(500, 5)]),
         ((0, 0), (1000, 0), (500, 20), (500, 900), []),
         ((0, 0), (10, 0), (20, 5), (30, 5), []),
+        ((0, 0), (2014, 2018), (0, 2018), (2014, 0), [(1010, 1010)]),
+        ((0, 0), (1000, 0), (100, -5), (900, 40), [(100, -5), (190, 0)]),
     ],
 )
 def test_meetings(p, q, r, s, want):
@@ -302,3 +304,41 @@ def test_member_of_an_archive(spark, frame, tmp_path):
     assert ff.meta.name == "one" and [numbers(s) for s in shapes(ff)] == [numbers(s) for s in SHAPES]
     with pytest.raises(ValueError):
         catalog.read(spark, f"{tmp_path}/a.zip#other.txt")
+
+
+def test_grid_join_keeps_the_points_columns(spark):
+    from geoloom.operators import spatial_join
+
+    points = spark.createDataFrame([(1, 0.5, 0.5, 7, 8, 9, 10)], "fid long, lng double, lat double, level int, cell int, cx int, cy int")
+    cells = spark.createDataFrame([(0,)], "fid long").select("fid", model.rectangle(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("geom"))
+    for broadcast in (True, False):
+        row = spatial_join.contain_join(points, cells, broadcast=broadcast).first()
+        assert (row["level"], row["cell"], row["cx"], row["cy"], row["poly_fid"]) == (7, 8, 9, 10, 0)
+
+
+def test_long_segments_meet_in_the_cells_they_pass(spark):
+    import random
+
+    r = random.Random(12)
+    lines = [(r.uniform(-9, 9), r.uniform(-9, 9), r.uniform(-9, 9), r.uniform(-9, 9)) for _ in range(6)]
+    side = lambda p, q, x: (q[0] - p[0]) * (x[1] - p[1]) - (q[1] - p[1]) * (x[0] - p[0]) > 0
+    cross = lambda s, t: side(s[:2], s[2:], t[:2]) != side(s[:2], s[2:], t[2:]) and side(t[:2], t[2:], s[:2]) != side(t[:2], t[2:], s[2:])
+    want = {i: 2 + sum(cross(s, t) for j, t in enumerate(lines) if j != i) for i, s in enumerate(lines)}
+    c = F.col
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(lines)], "fid long, a double, b double, c double, d double")
+    rows = rows.select("fid", model.linestring(F.array(model.vertex(c("a"), c("b")), model.vertex(c("c"), c("d")))).alias("geom"))
+    assert {r["fid"]: len(r["ns"]) for r in topology.noded(rows).collect()} == want
+
+
+def test_merged_rings_keep_their_holes_and_islands(spark):
+    """A 5 x 5 block of unit cells without its middle ring, and an island in the middle: slanted cuts, a hole, an island."""
+    c = F.col
+    cells = [(i, x, y) for i, (x, y) in enumerate((x, y) for x in range(5) for y in range(5) if (x, y) == (2, 2) or not (1 <= x <= 3 and 1 <= y <= 3))]
+    v = lambda x, y: model.vertex(F.col(x).cast("double"), F.col(y).cast("double"))
+    frame = spark.createDataFrame([(2 * i + k, x, y, k) for i, x, y in cells for k in (0, 1)], "fid long, x int, y int, k int").withColumns({"x1": c("x") + 1, "y1": c("y") + 1})
+    low, high = F.array(v("x", "y"), v("x", "y1"), v("x1", "y1"), v("x", "y")), F.array(v("x", "y"), v("x1", "y1"), v("x1", "y"), v("x", "y"))
+    rows = frame.select("fid", model.polygon(F.array(F.when(c("k") == 0, low).otherwise(high))).alias("geom"))
+    polys = topology.merge(rows).first()["geom"]["members"][0]["polys"]
+    assert sorted(len(p) for p in polys) == [1, 2]
+    area = lambda ring: abs(sum((b["x"] - a["x"]) * (b["y"] + a["y"]) for a, b in zip(ring, ring[1:]))) / 2
+    assert sorted(round(area(r)) for p in polys for r in p) == [1, 9, 25]
