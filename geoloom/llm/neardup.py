@@ -46,7 +46,7 @@ PART, HOT_KEYS = 256, 100_000
 LONG, DEPTH = 32, 4
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
-_hashes = Memo(xxhash.xxh3_64_intdigest, 1_000_000)
+_hashes = Memo(xxhash.xxh3_64_intdigest, 200_000)
 
 
 def shingles(data: bytes | None, words: int = WORDS) -> np.ndarray:
