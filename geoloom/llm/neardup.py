@@ -8,8 +8,7 @@
 3. Overlaps: each list pairs its members with its hub, the member whose values are the most common, as an original's
    are among its copies. Pairs of other members are not formed: of two members linked with the hub none is needed, and
    two others can only be similar if what sets them apart from the hub overlaps. So the differences from the hub make
-   inverted lists of their own (again with a prefix filter, by position), and those give the remaining pairs: lists of
-   at most LONG members all of them, longer ones by a hub and differences again.
+   inverted lists of their own (again with a prefix filter, by position), and those give the remaining pairs.
 4. A pair stays if the estimate from the sketch of the union (the k smallest of both) is within Z deviations of
    the threshold; exact Jaccard on full sets decides.
 5. Components by large-star and small-star rounds, each written to the shared folder.
@@ -26,7 +25,6 @@ an empty result. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 import numpy as np
 import xxhash
@@ -42,8 +40,6 @@ K = 64
 Z = 5.0
 #: Rows of one key that a task joins with the key's set; keys of more are dealt to several, up to HOT_KEYS by broadcast.
 PART, HOT_KEYS = 256, 100_000
-#: Members of a list of differences that are paired with one another; longer lists get hubs of their own, DEPTH times.
-LONG, DEPTH = 32, 4
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 _hashes = Memo(xxhash.xxh3_64_intdigest, 200_000)
@@ -196,12 +192,8 @@ def hub_pairs(index: DataFrame) -> DataFrame:
     return index.join(hubs, "value").filter("rep <> hub").select("hub", "rep").distinct()
 
 
-def further(members: DataFrame, sets: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that may be similar among members (hub, rep, linked) of one hub, and lists for the rest.
-
-    Pairs come from lists of at most `most` members (None: of all); longer lists are returned as an index like that
-    of lists(). Members linked with their hub are not paired with one another.
-    """
+def further(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of members (hub, rep, linked) of one hub that may be similar, those linked with it left out."""
     t = percent / 100
     r = (1 - t) / (1 + t)
     joined = spread(members, "hub", "rep", sets.toDF("hub", "xh"), hot_keys(members.select("hub"))).join(sets.toDF("rep", "xr"), "rep")
@@ -236,22 +228,16 @@ def further(members: DataFrame, sets: DataFrame, percent: int, most: int | None)
     rows = ranked.select("hub", "rep", "linked", "n", "d", "alone", F.posexplode(first).alias("i", "x")).select(
         "hub", F.col("x.e").alias("e"), "rep", "linked", "n", "d", (F.col("alone") + F.col("i") + 1).alias("at")
     )
-    rows, long = cut(rows), None
-    if most:
-        long = cut(rows.groupBy("hub", "e").agg(F.count("*").alias("df")).filter(F.col("df") > most))
-        index = rows.join(long, ["hub", "e"]).select(F.xxhash64("hub", "e").alias("value"), "rep", "n", F.lit(0).alias("pop"))
-        rows = rows.join(long, ["hub", "e"], "left_anti")
     x, y = (rows.toDF("hub", "e", *(f"{c}_{s}" for c in ("rep", "linked", "n", "d", "at"))) for s in "xy")
     c = F.col
     need = F.greatest(F.ceil((c("d_x") + c("d_y") - r * (c("n_x") + c("n_y"))) / 2 - 1e-6), F.lit(1))
     may = (c("at_x") <= c("d_x") - need + 1) & (c("at_y") <= c("d_y") - need + 1) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     met = x.join(y, ["hub", "e"]).filter((c("rep_x") < c("rep_y")) & ~(c("linked_x") & c("linked_y")) & may)
-    pairs = met.select(c("rep_x").alias("a"), c("rep_y").alias("b")).union(near).distinct()
-    return pairs, (index.distinct() if most else None)
+    return met.select(c("rep_x").alias("a"), c("rep_y").alias("b")).union(near).distinct()
 
 
-def links(index: DataFrame, named: DataFrame, sets: DataFrame, percent: int, least: float, k: int = K, depth: int = 0) -> list[DataFrame]:
-    """(a, b) of similar pairs that meet in a list of index, but for pairs that two others link."""
+def links(index: DataFrame, named: DataFrame, sets: DataFrame, percent: int, least: float, k: int = K) -> DataFrame:
+    """a, b: similar pairs that meet in a list of index, but for pairs that two others link."""
     pairs = cut(hub_pairs(index))
     ends = lambda p: p.select(F.least("hub", "rep").alias("a"), F.greatest("hub", "rep").alias("b"))
     found = cut(similar(ends(pairs).distinct(), named, sets, percent, least, k))
@@ -261,13 +247,9 @@ def links(index: DataFrame, named: DataFrame, sets: DataFrame, percent: int, lea
     open_ = told.groupBy("hub").agg(F.count("*").alias("n"), F.bool_and("linked").alias("all")).filter("n > 1 AND NOT all").select("hub")
     members = cut(told.join(open_, "hub"))
     if members.isEmpty():
-        return [found]
-    more, longer = further(members, sets, percent, LONG if depth < DEPTH else None)
-    more = cut(more.join(ends(pairs), ["a", "b"], "left_anti"))
-    out = [found, cut(similar(more, named, sets, percent, least, k))]
-    if longer is not None and not (longer := cut(longer)).isEmpty():
-        out += links(longer, named, sets, percent, least, k, depth + 1)
-    return out
+        return found
+    more = cut(further(members, sets, percent).join(ends(pairs), ["a", "b"], "left_anti"))
+    return found.union(similar(more, named, sets, percent, least, k))
 
 
 def near_duplicates(
@@ -288,8 +270,7 @@ def near_duplicates(
     )
     index = cut(lists(classes, least, k))
     named = classes.join(index.select("rep").distinct(), "rep", "left_semi")
-    linked = links(index, named, full_sets(named, docs, words), percent, least, k)
-    found = components(reduce(DataFrame.union, linked))
+    found = components(links(index, named, full_sets(named, docs, words), percent, least, k))
     moved = classes.select("mark", "rep", "size").join(
         found, F.col("rep") == F.col("node"), "left",
     )
