@@ -663,6 +663,22 @@ def topojson_roundtrip(spark, d):
     return rows.select("fid", "n_name", "corners", "b.*")
 
 
+@query(_BACK)
+def gzip_roundtrip(spark, d):
+    """Cells through a gzipped container, made again from a gzipped GeoJSON document."""
+    ff = catalog.read(spark, _through(spark, geojson.collection_text(views.cell_frame(spark, d)).encode(), "geojson.gz"))
+    return _vertices(catalog.read(spark, _through(spark, container.to_bytes(ff), "pbf.gz")))
+
+
+@query(_BACK)
+def bytes_roundtrip(spark, d):
+    """Cells through bytes whose format goes by their content: GML, then a zipped shapefile, then a container."""
+    ff = views.cell_frame(spark, d)
+    for write in (gml.to_bytes, shapefile.to_bytes, container.to_bytes):
+        ff = catalog.read(spark, write(ff))
+    return _vertices(ff)
+
+
 @query(_BACK)
 def table_roundtrip(spark, d):
     """Cells through a saved table with metadata."""

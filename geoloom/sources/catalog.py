@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
 import json
+import re
+from urllib.request import urlopen
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +13,31 @@ from pyspark.sql import functions as F
 from .. import model
 from ..functions import measures
 from ..model import FeatureFrame, Meta
+from ..session import shared_path
 from . import container, files, geojson, gml, kml, shapefile, topojson
 
 PROPERTY = "geoloom.meta"
+#: Files fetched in this process: (application, address) -> path in the shared folder.
+_FETCHED: dict[tuple[str, str], str] = {}
 
 
 def read(spark: SparkSession, source, **options) -> FeatureFrame:
-    """A frame of a path, a table's name, a GeoJSON object or a frame; the format goes by the name's ending."""
+    """A frame of a path, an address, a table's name, bytes, a GeoJSON object or a frame.
+
+    The format goes by the name's ending; that of bytes by their content, gzipped or not.
+    """
     if isinstance(source, FeatureFrame):
         return source
+    if isinstance(source, bytes | bytearray | memoryview):
+        data = files.plain(bytes(source))
+        path = f"{shared_path(spark, 'bytes')}.{ending_of(data)}"
+        write_file(spark, data, path)
+        return read(spark, path, **options)
     if isinstance(source, dict | list):
         return geojson.from_object(spark, source, **options)
+    if re.match(r"https?://", source):
+        address, *member = source.split("#", 1)
+        return read(spark, "#".join([fetched(spark, address), *member]), **options)
     if "#" in source:
         return _member(spark, *source.split("#", 1), **options)
     name = source.lower().removesuffix(".gz").removesuffix(".gzip").rstrip("/")
@@ -33,6 +50,37 @@ def read(spark: SparkSession, source, **options) -> FeatureFrame:
     return load(spark, source)
 
 
+def ending_of(data: bytes) -> str:
+    """The name ending of the format that data is in."""
+    if files.is_zip(data):
+        names = [n.lower() for n in files.members(data)]
+        inner = {"zip": (".shp",), "kmz": (".kml",), "gml": (".gml", ".xml")}
+        kind = next((k for k, endings in inner.items() if any(n.endswith(endings) for n in names)), None)
+        if kind is None:
+            raise ValueError("no reader for this archive")
+        return kind
+    head = data[:4096].removeprefix(b"\xef\xbb\xbf").lstrip()
+    if head[:1] == b"<":
+        return "kml" if re.search(rb"<(\w+:)?kml\b", head) else "gml"
+    if head[:1] in (b"{", b"["):
+        document = json.loads(data)
+        return "topojson" if isinstance(document, dict) and document.get("type") == "Topology" else "geojson"
+    return "pbf"
+
+
+def fetched(spark: SparkSession, address: str, again: bool = False) -> str:
+    """Path in the shared folder of what is at an http address, fetched once an application unless again."""
+    key = (spark.sparkContext.applicationId, address)
+    if again or key not in _FETCHED:
+        with urlopen(address) as answer:
+            data = answer.read()
+        name = re.sub(r"[^\w.-]", "_", re.sub(r"[?#].*", "", address).rstrip("/").rsplit("/", 1)[-1])
+        path = f"{shared_path(spark, 'fetched')}/{name}"
+        write_file(spark, data, path, packed=True)
+        _FETCHED[key] = path
+    return _FETCHED[key]
+
+
 def _member(spark: SparkSession, path: str, member: str, noprop: bool = False) -> FeatureFrame:
     """One file of the archives at path, as `archive.zip#member`."""
     parsers = {
@@ -75,8 +123,10 @@ def delete(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def write_file(spark: SparkSession, data: bytes, path: str) -> None:
-    """Bytes of a one-file format at a path of any file system Spark knows."""
+def write_file(spark: SparkSession, data: bytes, path: str, packed: bool = False) -> None:
+    """Bytes of a one-file format at a path of any file system Spark knows; gzipped if it ends in .gz, unless packed."""
+    if path.lower().endswith((".gz", ".gzip")) and not packed:
+        data = gzip.compress(data, mtime=0)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)

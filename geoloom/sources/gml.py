@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from itertools import count
 from xml.sax.saxutils import escape
 
 from pyspark.sql import SparkSession
@@ -120,16 +121,22 @@ def geometry_text(geom: dict) -> str:
     return f"<gml:{outer}>" + "".join(f"<gml:{inner}>{p}</gml:{inner}>" for _, p in parts) + f"</gml:{outer}>"
 
 
-def _member(geom: dict | None, props: dict) -> str:
+def _identified(text: str, base: str) -> str:
+    """text with a gml:id on each geometry, numbered in the order of the text."""
+    numbers = count()
+    return re.sub(r"<gml:(Point|LineString|Polygon|Multi(?:Point|Curve|Surface|Geometry))>", lambda m: f'<gml:{m[1]} gml:id="{base}.{next(numbers)}">', text)
+
+
+def _member(i: int, geom: dict | None, props: dict) -> str:
     fields = "".join(
         f"<{k}>{escape(str(v).lower() if isinstance(v, bool) else str(v))}</{k}>"
         for k, v in ((re.sub(r"^(?=[^A-Za-z_])", "_", re.sub(r"[^\w.-]", "_", k)), v) for k, v in props.items() if not isinstance(v, dict | list))
     )
-    shape = f"<geometry>{geometry_text(geom)}</geometry>" if geom else ""
-    return f"<gml:featureMember><Feature>{fields}{shape}</Feature></gml:featureMember>"
+    shape = f"<geometry>{_identified(geometry_text(geom), f'g{i}')}</geometry>" if geom else ""
+    return f"<gml:featureMember><Feature gml:id=\"f{i}\">{fields}{shape}</Feature></gml:featureMember>"
 
 
 def to_bytes(ff: FeatureFrame) -> bytes:
-    """The frame as one GML 3.2 document; scalar properties only."""
-    body = "\n".join(_member(g, p) for g, p in files.collected(ff.df))
+    """The frame as one GML 3.2 document, features and geometries with ids; scalar properties only."""
+    body = "\n".join(_member(i, g, p) for i, (g, p) in enumerate(files.collected(ff.df)))
     return f'<?xml version="1.0" encoding="UTF-8"?>\n<gml:FeatureCollection xmlns:gml="{GML}" xmlns:xlink="{XLINK}">\n{body}\n</gml:FeatureCollection>'.encode()
