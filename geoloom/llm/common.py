@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise as cut
 from ..session import shared_path as shared_dir
 
-__all__ = ["Memo", "SPACE_PATTERN", "WORD_PATTERN", "cut", "drawn", "fresh", "let", "shared_dir", "table", "words"]
+__all__ = ["Memo", "SPACE_PATTERN", "WORD_PATTERN", "cut", "drawn", "fresh", "let", "shared_dir", "small_batches", "table", "words"]
 
 #: Fixed value: the word class of every operator here, a run without ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -20,6 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, limit: int = 8 << 20):
+    """Jobs run within hand rows to Python workers in Arrow batches of about limit bytes, so that their memory doesn't
+    depend on how long rows are; the session's own setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, f"{limit}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def let(value: Column, body) -> Column:
     """body(x) with x bound once to value.
 

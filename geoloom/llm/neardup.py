@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, fresh
+from .common import Memo, cut, fresh, small_batches
 
 WORDS = 5
 K = 64
@@ -262,15 +262,16 @@ def near_duplicates(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     t = percent / 100
     least = t - Z * math.sqrt(t * (1 - t) / k)
-    rows = cut(sketched(docs, k, words))
-    classes = cut(
-        rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("mark")
-        .agg(F.min(F.struct("id", "sketch")).alias("m"), F.first("n_shingles").alias("n"), F.count("*").alias("size"))
-        .select(F.col("m.id").alias("rep"), "n", "mark", "size", F.col("m.sketch").alias("sketch"))
-    )
-    index = cut(lists(classes, least, k))
-    named = classes.join(index.select("rep").distinct(), "rep", "left_semi")
-    found = components(links(index, named, full_sets(named, docs, words), percent, least, k))
+    with small_batches(docs.sparkSession):
+        rows = cut(sketched(docs, k, words))
+        classes = cut(
+            rows.filter("n_shingles > 0 AND id IS NOT NULL").groupBy("mark")
+            .agg(F.min(F.struct("id", "sketch")).alias("m"), F.first("n_shingles").alias("n"), F.count("*").alias("size"))
+            .select(F.col("m.id").alias("rep"), "n", "mark", "size", F.col("m.sketch").alias("sketch"))
+        )
+        index = cut(lists(classes, least, k))
+        named = classes.join(index.select("rep").distinct(), "rep", "left_semi")
+        found = components(links(index, named, full_sets(named, docs, words), percent, least, k))
     moved = classes.select("mark", "rep", "size").join(
         found, F.col("rep") == F.col("node"), "left",
     )
