@@ -142,21 +142,19 @@ def draws(plan: DataFrame, seed: int = 0) -> DataFrame:
     return ranks.select("shard", (F.row_number().over(mixed_up) - 1).alias("slot"), "place", block.alias("block"))
 
 
-def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *keep: Column) -> DataFrame:
-    """id, source, size, and h and tie, which order a source's stream; written to the shared folder."""
+def _stream(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """id, source, size, and h and tie, which order a source's stream."""
     key, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit(""))
     of_id = F.pmod(F.floor((key % FIELD) * 1_597_334_677 / F.lit(65_536)).cast("long"), F.lit(1 << 30))
     of_text = F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
-    return cut(
-        docs.select(
-            key.alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"),
-            F.when(key.isNull(), of_text).otherwise(of_id).alias("h"), F.xxhash64(text).alias("tie"), *keep,
-        )
-    )
+    return [
+        key.alias("id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"),
+        F.when(key.isNull(), of_text).otherwise(of_id).alias("h"), F.xxhash64(text).alias("tie"),
+    ]
 
 
 def placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row of sized with its source's row of plan and its first word's position in the source's stream."""
+    """Each row of _stream with its source's row of plan and its first word's position in the source's stream."""
     known = plan.count() <= BROADCAST_SOURCES
     plan = plan.select(F.col("source").alias("_source"), "place", "source_size", "target")
     found = rows.join(F.broadcast(plan) if known else plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -182,7 +180,7 @@ def pieces(at: DataFrame, slots: DataFrame, *keep: str) -> DataFrame:
 
 
 def _taken(rows: DataFrame, seed: int, *keep: str) -> DataFrame:
-    """rows of sized with source_size, target, start's order and taken."""
+    """rows of _stream with source_size, target, start's order and taken."""
     plan = cut(targets(cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))))
     at = placed(rows, plan).withColumnRenamed("place", "own").withColumn("place", F.col("own"))
     keys = ["own", "bucket", "nth", "id", "source", "h", "tie", "words", "source_size", "target", *keep]
@@ -198,22 +196,23 @@ def mix(
 
     id_col holds whole numbers (or null).
     """
-    taken = _taken(sized(docs, id_col, text_col, source_col), seed)
+    taken = _taken(cut(docs.select(*_stream(id_col, text_col, source_col))), seed)
     return taken.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs written with a number for each row, and that column's name."""
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, str]:
+    """docs with a number for each row, the rows of _stream with it as row, and its column; one table, written once."""
     row = fresh(docs, "mix_row")
-    return cut(docs.withColumn(row, F.monotonically_increasing_id())), row
+    stream = fresh(docs, "mix_stream")
+    written = cut(docs.withColumns({row: F.monotonically_increasing_id(), stream: F.struct(*_stream(id_col, text_col, source_col))}))
+    return written.drop(stream), written.select(f"{stream}.*", F.col(row).alias("row")), row
 
 
 def shards(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0
 ) -> DataFrame:
     """The mix itself: shard, slot, at, source, id, text, where a slot's block is its texts in the order of at."""
-    docs, row = _keyed(docs)
-    rows = sized(docs, id_col, text_col, source_col, F.col(row).alias("row"))
+    docs, rows, row = _keyed(docs, id_col, text_col, source_col)
     plan = cut(targets(cut(rows.groupBy("source").agg(F.sum("size").alias("source_size")))))
     found = pieces(placed(rows, plan), draws(plan, seed), "row", "id", "source").filter("shard IS NOT NULL")
     texts = docs.select(F.col(row).alias("row"), words(F.col(text_col)).alias("words"))
@@ -231,8 +230,8 @@ def mixed_documents(
     source of a few long documents misses its target by up to half of one. Rows are told apart by themselves: equal
     and null ids are neither lost nor multiplied.
     """
-    docs, row = _keyed(docs)
-    taken = _taken(sized(docs, id_col, text_col, source_col, F.col(row).alias("row")), seed, "row").filter("size > 0")
+    docs, rows, row = _keyed(docs, id_col, text_col, source_col)
+    taken = _taken(rows, seed, "row").filter("size > 0")
     kind = 64 - F.floor(F.log2("size")).cast("long")
     line = taken.select(
         "own", "row", "h", "size", F.floor(F.col("taken") * PARTS / F.col("size")).cast("long").alias("share"),
