@@ -206,6 +206,53 @@ def test_noding_against_brute_force(spark):
     assert {r["fid"]: len(r["ns"]) for r in topology.noded(rows).collect()} == want and sum(want.values()) > 300
 
 
+def two_point_lines(spark, lines):
+    c = F.col
+    rows = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(lines)], "fid long, a double, b double, c double, d double")
+    return rows.select("fid", model.linestring(F.array(model.vertex(c("a"), c("b")), model.vertex(c("c"), c("d")))).alias("geom"))
+
+
+def shapes_of(df):
+    segs = topology.segments(df, "fid", kinds=topology.LINEAR)
+    return segs.select(F.col("fid").alias("sid"), "a", "b", F.col("fid").alias("line"), F.col("seq").alias("s0"), F.col("seq").alias("s1"))
+
+
+def test_long_segments_take_few_cells(spark):
+    lines = [(i % 300 - 150, i % 160 - 80, i % 300 - 150 + 0.4, i % 160 - 80 + 0.3) for i in range(1000)] + [(-180, -85, 180, 85), (-180, 0, 180, 0)]
+    shapes = shapes_of(two_point_lines(spark, lines))
+    levels = sorted(r[0] for r in shapes.select(topology.level(F.col("a"), F.col("b"))).distinct().collect())
+    assert levels == [2, 5] and topology.placed(shapes, levels).count() < 5 * len(lines)
+
+
+def test_copies_of_a_line_meet_once(spark):
+    copies, met = 300, []
+    df = two_point_lines(spark, [(0, 0, 1, 1)] * copies + [(0, 1, 1, 0)] * copies + [(0, 0.25, 0.5, 0.25)])
+    whole, found = topology.candidates, lambda *a: met.append(whole(*a)) or met[0]
+    topology.candidates = found
+    try:
+        got = {r["fid"]: len(r["ns"]) for r in topology.noded(df).collect()}
+    finally:
+        topology.candidates = whole
+    assert got == {i: 4 if i < copies else 3 for i in range(2 * copies + 1)}
+    assert met[0].count() == 2
+
+
+def test_noding_across_grids_against_every_pair(spark):
+    """Segments of all lengths, parallel ones among them: no pair that meets is lost, whichever grids it lies on."""
+    import random
+
+    r = random.Random(3)
+    spans = [10.0**-r.randrange(7) * r.choice([1, 1, 40]) for _ in range(150)]
+    lines = [(x, y, x + r.uniform(-w, w), y + r.choice([0, 1]) * r.uniform(-w, w)) for w in spans for x, y in [(r.choice([0, w]) * r.uniform(-1, 1), r.choice([0, w]) * r.uniform(-1, 1))]]
+    shapes = shapes_of(two_point_lines(spark, lines))
+    rows = sorted(shapes.collect())
+    levels = sorted(x[0] for x in shapes.select(topology.level(F.col("a"), F.col("b"))).distinct().collect())
+    found = {(x["a_sid"], x["b_sid"]) for x in topology.candidates(shapes, levels).collect()}
+    ends = lambda x: (divmod(x["a"], topology.SIDE), divmod(x["b"], topology.SIDE))
+    want = {(p["sid"], q["sid"]) for p in rows for q in rows if p["sid"] < q["sid"] and topology.meetings(*ends(p), *ends(q))}
+    assert len(levels) > 3 and len(want) > 300 and want <= found and len(found) < 2 * len(want)
+
+
 def test_effective_areas_never_fall():
     a = topology.effective_areas([(0, 0), (1, 0.1), (2, 1), (3, -1), (4, 0)], metres=False)
     assert a[0] == a[-1] == math.inf and all(x > 0 for x in a[1:-1]) and min(a[1:-1]) == pytest.approx(min(a))
