@@ -264,6 +264,41 @@ def test_line_split_at_antimeridian():
     assert [[(round(x, 6), round(y, 6)) for x, y in p] for p in parts] == [[(170, 0), (180, 0)], [(-180, 0), (-170, 0)]]
 
 
+def test_lines_are_cut_without_python(spark):
+    """Lines, points and collections across the antimeridian: as the Arrow function cut them, and no row of them goes to it."""
+    import random
+
+    r = random.Random(4)
+    far = lambda: (r.choice([-180.0, 180.0, 0.0, 190.0, -540.0, r.uniform(-200, 200), r.uniform(-180, 180)]), r.choice([0.0, r.uniform(-85, 85)]))
+    line = lambda: [far() for _ in range(r.randrange(9))]
+    member = lambda kind: (kind, [[line() for _ in range(r.randrange(4) if kind == model.MULTILINE else 1)]])
+    geoms = [(k, [member(k)]) for k in [model.LINE, model.MULTILINE, model.MULTIPOINT] * 60]
+    geoms += [(model.COLLECTION, [member(r.choice([model.LINE, model.MULTILINE, model.MULTIPOINT])) for _ in range(r.randrange(4))]) for _ in range(40)]
+    geoms += [(model.LINE, [(model.LINE, [[[(170.0, 10.0), (-170.0, 20.0)] * 40]])])]
+    df = spark.createDataFrame(list(enumerate(geoms)), f"fid long, geom {model.GEOMETRY}")
+    rows = df.withColumn("s", F.coalesce(normalise.needs_split(F.col("geom")), F.lit(False))).collect()
+    want = {x["fid"]: normalise._fix(x["geom"].asDict(True), x["s"], 6) for x in rows}
+    assert sum(x["s"] for x in rows) > 100
+    fix = normalise._fix
+    normalise._fix = None  # the Arrow function would fail
+    try:
+        got = {x["fid"]: x["geom"].asDict(True) for x in normalise.normalised(df).collect()}
+    finally:
+        normalise._fix = fix
+    assert got == want
+
+
+def test_rings_are_handed_on_in_small_pieces(spark):
+    ring = [(x, y) for x, y in ((0, 0), (0, 9), (5, 12), (9, 9), (9, 0), (0, 0))]
+    df = spark.createDataFrame([(i, (model.POLYGON, [(model.POLYGON, [[[(float(x + i), float(y)) for x, y in ring]]])])) for i in range(50)], f"fid long, geom {model.GEOMETRY}")
+    want = {x["fid"]: x["geom"] for x in normalise.normalised(df.coalesce(1)).collect()}
+    held, normalise.HELD = normalise.HELD, 15
+    try:
+        assert {x["fid"]: x["geom"] for x in normalise.normalised(df.coalesce(1)).collect()} == want and len(want) == 50
+    finally:
+        normalise.HELD = held
+
+
 def test_ring_split_and_pole():
     pieces = normalise.split_ring([(170, -10), (170, 10), (-170, 10), (-170, -10), (170, -10)])
     assert len(pieces) == 2 and all(p[0] == p[-1] and normalise.ring_sum(p) > 0 for p in pieces)
